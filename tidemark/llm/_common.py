@@ -52,6 +52,8 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: A space before a non-space: the byte-level pre-tokenizer always starts a new word there.
 WORD_START = re.compile(r" (?=\S)")
+#: A space that no non-space follows.
+NO_WORD = re.compile(r" (?:\s|$)")
 
 
 def pieces(text: str) -> list[str]:
@@ -59,7 +61,25 @@ def pieces(text: str) -> list[str]:
 
     No pre-token of the byte-level pattern spans such a cut, so that the pieces can be encoded one by one.
     """
-    found = text.split(" ")
-    if any(not w or w[0].isspace() for w in found[1:]):
-        return WORD_START.split(text)
-    return found
+    return WORD_START.split(text) if NO_WORD.search(text) else text.split(" ")
+
+
+class Memo(dict):
+    """A bounded memo in two generations: entries that aren't used while a generation fills up are forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.before = most, {}
+
+    def recall(self, key):
+        """An entry of the generation before, which is then one of the present one; None if there is none."""
+        found = self.before.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value

@@ -17,24 +17,27 @@ from __future__ import annotations
 import codecs
 import functools
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_rows, pieces, schema_of, text_rows
+from tidemark.llm._common import Memo, map_rows, pieces, schema_of, text_rows
 
 #: The pre-tokenization pattern and the byte-to-character table of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: Stands before the first token of a stream; any token may follow it.
+START = 1 << 23
 #: Longest contraction or context that a match can depend on after its end.
 CONTEXT = 3
 #: Characters of an unfinished match that are held back before they are passed on as an open run.
 OPEN = 1024
-#: Entries of the piece and pair memos; a full memo is emptied, so that they stay bounded.
-MEMO = 300_000
+#: Entries of a memo (of a generation).
+MEMO = 250_000
 #: Pieces above this length go through the stream and aren't kept in the memo.
 MEMO_PIECE = 64
 
@@ -66,15 +69,69 @@ class Vocabulary:
             self.rank[pair] = n
             self.parts[model["vocab"][a + b]] = (n, *pair)
         self.longest = max(map(len, self.ids))
-        lengths: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            lengths.setdefault(b[-3:], set()).add(len(b))
-        #: Lengths that tokens with these last three bytes (or these bytes at all) have, the longest first.
-        self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in lengths.items()}
+        self._automaton()
         self.right = {i: self._spine(i, 2) for i in self.ids.values()}
         self.left = {i: self._spine(i, 1) for i in self.ids.values()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.pairs = Memo(MEMO)
+        self.spaced, self.plain, self.now = Memo(MEMO), Memo(MEMO), Word(self)
+
+    def word(self, piece: str) -> bytes:
+        """Ids of one pre-token as little-endian unsigned 32-bit integers."""
+        if piece[0] == " " and len(piece) > 1:
+            memo, key = self.spaced, piece[1:]
+        else:
+            memo, key = self.plain, piece
+        found = memo.get(key) or memo.recall(key)
+        if found is None:
+            found = self.fresh(piece)
+            if len(key) <= MEMO_PIECE:
+                memo.keep(key, found)
+        return found
+
+    def fresh(self, piece: str) -> bytes:
+        """The same, without a look at the memo."""
+        now = self.now
+        return array("I", now.push(piece.encode()) + now.end()).tobytes()
+
+    def _automaton(self) -> None:
+        """A suffix automaton over the tokens: a state is the longest part of a token that the bytes so far end with.
+
+        move: state * 256 + byte -> state (other moves follow the fall-back states and are kept once found);
+        ending: state -> (token, -length) of all tokens that the bytes so far end with, the longest first.
+        """
+        move, token_at, children = {}, {}, {0: []}
+        for b, i in sorted(self.ids.items()):
+            state = 0
+            for x in b:
+                nxt = move.get(state << 8 | x)
+                if nxt is None:
+                    nxt = move[state << 8 | x] = len(children)
+                    children[nxt] = []
+                    children[state].append((x, nxt))
+                state = nxt
+            token_at[state] = (i, -len(b))
+        self.move, self.fall, self.ending, level = move, [0] * len(children), [()] * len(children), [0]
+        while level:
+            after = []
+            for state in level:
+                for x, child in children[state]:
+                    back = self.fall[state]
+                    while back and back << 8 | x not in move:
+                        back = self.fall[back]
+                    self.fall[child] = move[back << 8 | x] if state else 0
+                    self.ending[child] = ((token_at[child],) if child in token_at else ()) + self.ending[self.fall[child]]
+                    after.append(child)
+            level = after
+        self.trie_moves, self.most_moves = len(move), len(move) + MEMO
+
+    def step(self, state: int, byte: int) -> int:
+        """The move of a state that isn't in move yet."""
+        found = state
+        while (nxt := self.move.get(found << 8 | byte)) is None:
+            found = self.fall[found]
+        if len(self.move) < self.most_moves:
+            self.move[state << 8 | byte] = nxt
+        return nxt
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of a token while it grows, from its byte up: (token, rank of the merge that absorbs it)."""
@@ -104,9 +161,9 @@ class Vocabulary:
         Both edges grow by their own merges in rank order; the seam is merged if a rule joins the two edges of a
         moment before either is absorbed (of equal ranks the one further left is applied first).
         """
-        if len(self.pairs) >= MEMO:
-            self.pairs.clear()
-        found = self.pairs[a, b] = self._seam(a, b)
+        key = a << 24 | b
+        if (found := self.pairs.recall(key)) is None:
+            self.pairs.keep(key, found := a == START or self._seam(a, b))
         return found
 
     def _seam(self, a: int, b: int) -> bool:
@@ -125,10 +182,13 @@ class Vocabulary:
 
 
 class Word:
-    """One pre-token's bytes as a stream: push() bytes, get the tokens that have become stable; end() gives the rest."""
+    """One pre-token's bytes as a stream: push() bytes, get the tokens that have become stable; end() gives the rest.
+
+    last[n] is the last token of the encoding of the first n bytes of tail.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.tail, self.last = vocabulary, b"", []
+        self.v, self.tail, self.last, self.state = vocabulary, b"", [START], 0
 
     def push(self, data: bytes) -> list[int]:
         """Tokens that no later byte can change."""
@@ -141,20 +201,20 @@ class Word:
 
     def _step(self, data: bytes) -> None:
         """Find the last token of each new prefix: of the tokens that end there just one fits its own predecessor."""
-        v, last, n = self.v, self.last, len(self.tail)
-        self.tail = tail = self.tail + data
-        get, pairs, lengths = v.ids.get, v.pairs, v.lengths
-        for n in range(n + 1, len(tail) + 1):
-            token = get(tail[:n]) if n <= v.longest else None
-            if token is None:
-                for length in (*lengths.get(tail[n - 3 : n], ()), 2, 1) if n > 2 else (1,):
-                    if length < n and (token := get(tail[n - length : n])) is not None:
-                        pair = last[n - length - 1], token
-                        if (fits := pairs.get(pair)) is None:
-                            fits = v.side_by_side(*pair)
-                        if fits:
-                            break
-            last.append(token)
+        v, last, state = self.v, self.last, self.state
+        self.tail += data
+        move, pairs, ending, fits, append = v.move.get, v.pairs.get, v.ending, v.side_by_side, last.append
+        for byte in data:
+            if (nxt := move(state << 8 | byte)) is None:
+                nxt = v.step(state, byte)
+            state = nxt
+            for token, back in ending[state]:
+                before = last[back]
+                known = pairs(before << 24 | token)
+                if known or known is None and fits(before, token):
+                    break
+            append(token)
+        self.state = state
 
     def _settle(self) -> list[int]:
         """Emit what all chains from the last `longest` positions share, and forget these bytes."""
@@ -164,7 +224,7 @@ class Word:
         while len(low) > 1:  # the furthest end steps back until one position is left
             top = max(low)
             low.remove(top)
-            low.add(top - len(v.bytes_of[self.last[top - 1]]))
+            low.add(top - len(v.bytes_of[self.last[top]]))
         meeting = low.pop()
         if meeting <= 0:
             return []
@@ -173,24 +233,24 @@ class Word:
         keep = meeting - len(v.bytes_of[out[-1]])
         held = out.pop()
         self.tail, self.last = self.tail[keep:], self.last[keep:]
-        assert self.last[len(v.bytes_of[held]) - 1] == held
+        assert self.last[len(v.bytes_of[held])] == held
         return out
 
     def _chain(self, end: int) -> list[int]:
         out = []
         while end > 0:
-            out.append(self.last[end - 1])
+            out.append(self.last[end])
             end -= len(self.v.bytes_of[out[-1]])
         return out[::-1]
 
     def end(self) -> list[int]:
         out = self._chain(len(self.tail))
-        self.tail, self.last = b"", []
+        self.tail, self.last, self.state = b"", [START], 0
         return out
 
 
 class StreamEncoder:
-    """Text in, token ids out, in pieces of any size: feed() text, then finish().
+    """Text in, ids out (little-endian unsigned 32-bit integers), in pieces of any size: feed() text, then finish().
 
     Matches of the pre-tokenizer pass on once CONTEXT characters follow them; a match that stays open for over OPEN
     characters goes to its Word as it comes. Special tokens are cut out by the caller (Codec.segments).
@@ -200,65 +260,53 @@ class StreamEncoder:
     _more = {k: regex.compile(p) for k, p in (("L", r"\p{L}*"), ("N", r"\p{N}*"), ("O", r"[^\s\p{L}\p{N}]*"), ("S", r"\s*"))}
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.held, self.open, self.word = vocabulary, "", "", None
+        self.v, self.held, self.open, self.run = vocabulary, "", "", None
 
-    def feed(self, text: str) -> list[int]:
-        out: list[int] = []
+    def feed(self, text: str) -> bytes:
+        out = []
         self.held += text
         if self.open:
-            out += self._go_on()
-        if self.open:
-            return out
+            out.append(self._go_on())
+            if self.open:
+                return out[0]
         at, size = 0, len(self.held)
         for m in self._match.finditer(self.held):
             if m.end() > size - CONTEXT:
                 break
-            out += self._whole(m.group())
+            out.append(self.v.word(m.group()))
             at = m.end()
         self.held = self.held[at:]
         if len(self.held) > OPEN:
-            first = self.held[1] if self.held[0] == " " and not self.held[1].isspace() else self.held[0]
-            self.open = next(k for k in "LNSO" if self._more[k].match(first).end())
-            self.word = Word(self.v)
-            if self.held[0] == " " and self.open != "S":
-                out += self.word.push(b" ")
+            space = self.held[0] == " " and not self.held[1].isspace()
+            self.open = next(k for k in "LNSO" if self._more[k].match(self.held[space]).end())
+            self.run = Word(self.v)
+            if space:
+                self.run.push(b" ")
                 self.held = self.held[1:]
-            out += self._go_on()
-        return out
+            out.append(self._go_on())
+        return b"".join(out)
 
-    def _go_on(self) -> list[int]:
+    def _go_on(self) -> bytes:
         """Pass on what surely belongs to the open run; its last characters wait for what follows them."""
         end = self._more[self.open].match(self.held).end()
-        if end < len(self.held):  # the run ends here; of white space the last character may belong to the next word
+        over = end < len(self.held)
+        if over:  # of white space the last character may belong to the next word
             end -= self.open == "S" and end > 1
-            out = self.word.push(self.held[:end].encode()) + self.word.end()
-            self.held, self.open, self.word = self.held[end:], "", None
-            return out
-        take = max(0, end - CONTEXT)
-        out = self.word.push(self.held[:take].encode())
-        self.held = self.held[take:]
-        return out
-
-    def _whole(self, piece: str) -> list[int]:
-        words = self.v.words
-        found = words.get(piece)
-        if found is None:
-            word = Word(self.v)
-            found = word.push(piece.encode()) + word.end()
-            if len(piece) <= MEMO_PIECE:
-                if len(words) >= MEMO:
-                    words.clear()
-                words[piece] = found
-        return found
-
-    def finish(self) -> list[int]:
-        out: list[int] = []
+        else:
+            end = max(0, end - CONTEXT)
+        out = self.run.push(self.held[:end].encode())
+        self.held = self.held[end:]
+        if over:
+            out += self.run.end()
+            self.open, self.run = "", None
+        return array("I", out).tobytes()
+
+    def finish(self) -> bytes:
         if self.open:
-            out += self.word.push(self.held.encode()) + self.word.end()
+            out = array("I", self.run.push(self.held.encode()) + self.run.end()).tobytes()
         else:
-            for m in self._match.finditer(self.held):
-                out += self._whole(m.group())
-        self.held, self.open, self.word = "", "", None
+            out = b"".join(map(self.v.word, self._match.findall(self.held)))
+        self.held, self.open, self.run = "", "", None
         return out
 
 
@@ -276,13 +324,13 @@ class StreamDecoder:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file, with a bounded memo of the transducer's output for short pieces."""
+    """Encoder and decoder of one vocabulary file."""
 
-    #: Characters and ids that go through the machines at a time.
-    FEED, IDS = 1 << 16, 1 << 15
+    #: Characters, words and ids that go through the machines at a time.
+    FEED, WORDS, IDS = 1 << 16, 1 << 14, 1 << 15
 
     def __init__(self, path: str):
-        self.v, self.memo, self.after_space = Vocabulary(path), {}, {}
+        self.v = Vocabulary(path)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True)))) if self.v.special else None
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -293,36 +341,33 @@ class Codec:
             at = m.end()
         yield text[at:], None
 
-    def _stream(self, text: str) -> bytes:
-        machine, out = StreamEncoder(self.v), []
+    def _stream(self, text: str) -> Iterator[bytes]:
+        machine = StreamEncoder(self.v)
         for at in range(0, len(text), self.FEED):
-            out += machine.feed(text[at : at + self.FEED])
-        out += machine.finish()
-        return b"".join(i.to_bytes(4, "little") for i in out)
+            yield machine.feed(text[at : at + self.FEED])
+        yield machine.finish()
 
-    def _piece(self, piece: str, space: str = "") -> bytes:
-        memo = self.after_space if space else self.memo
-        found = memo.get(piece)
+    def _spaced(self, piece: str) -> bytes:
+        """A piece that stands after a space and isn't in the memo's present generation."""
+        memo = self.v.spaced
+        found = memo.recall(piece)
         if found is None:
-            found = self._stream(space + piece)
+            text = " " + piece
+            # Letters alone are one pre-token.
+            found = self.v.fresh(text) if piece.isalpha() and len(piece) <= MEMO_PIECE else b"".join(self._stream(text))
             if len(piece) <= MEMO_PIECE:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[piece] = found
+                memo.keep(piece, found)
         return found
 
-    def _after_space(self, piece: str) -> bytes:
-        return self._piece(piece, " ")
-
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, some at a time."""
         for part, special in self.segments(text):
             if part:
                 first, *words = pieces(part)
-                yield self._piece(first)
-                get, missing = self.after_space.get, self._after_space
-                for at in range(0, len(words), self.FEED):
-                    yield b"".join([get(w) or missing(w) for w in words[at : at + self.FEED]])
+                yield from self._stream(first)
+                get, missing = self.v.spaced.get, self._spaced
+                for at in range(0, len(words), self.WORDS):
+                    yield b"".join([get(w) or missing(w) for w in words[at : at + self.WORDS]])
             if special is not None:
                 yield special.to_bytes(4, "little")
 
