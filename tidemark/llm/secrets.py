@@ -90,6 +90,20 @@ def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", tex
     return rows.join(known, ["blob", "salt"], "left").select("id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def without_secrets(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
+    """docs, all columns, with the ledger's spans masked in the text; other texts, and null ones, stay as they are.
+
+    Columns that begin with an underscore are taken.
+    """
+    known = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0))
+    known = known.select(F.col("blob").alias("_of"), F.col("spans").alias("_spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).withColumn("_at", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
+    joined_rows = rows.join(known, (F.col("_blob") == F.col("_of")) & (F.col("_at") == F.col("_salt")), "left")
+    masked = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redact(text, F.col("_spans"), mask))
+    return joined_rows.withColumn(text_col, masked).select(*docs.columns)
+
+
 def count_of(spans: Column, kind: str) -> Column:
     """How many of the spans are of a kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

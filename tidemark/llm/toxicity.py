@@ -16,13 +16,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_rows, schema_of, text_rows
+from tidemark.llm._common import SLICE, map_rows, schema_of, text_rows
+from tidemark.session import ship
 
 #: Labelled documents that the model is fitted on, at most; chosen by a hash of the id, half of each class if there are enough.
 SAMPLE = 20_000
@@ -222,6 +225,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_rows(rows, run, schema_of(rows, ["doc_id"], "score double, predicted int, passages array<struct<start:int,end:int,evidence:double>>"))
 
 
-def held_out(doc_id) -> "F.Column":
+def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that model doesn't predict to be toxic. A null text stays."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield part.filter(pa.array([model.score(t or "") < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
