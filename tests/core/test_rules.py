@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import dsl
+from tidemark import dsl, runtime
 from tidemark.functions import scalars
 from tidemark.functions.schema import TASK_STATES
 from tidemark.operators import graph, metrics, policy, replay, timeline
@@ -207,3 +207,28 @@ def test_runs_equal_their_replay(spark):
     stop.task("x", lambda: 1 / 0, priority=1)
     stop.task("y", print) >> stop.task("z", print)
     assert engine.run(stop).states["z"] == "cancelled"
+
+
+def test_clocks_tokens_and_rehearsals(spark):
+    clock = runtime.ManualClock(10.0)
+    late = runtime.Deadline.after(clock, 5)
+    assert late.remaining == 5.0 and not late.expired and runtime.Deadline(clock).remaining is None
+    clock.advance(7)
+    assert late.expired and runtime.OffsetClock(3.0, clock)() == 20.0
+    heard = []
+    token = runtime.CancelToken()
+    token.listen(heard.append)
+    assert token.cancel("stop") and not token.cancel("again")
+    token.listen(heard.append)
+    assert heard == ["stop", "stop"]
+    with pytest.raises(ValueError):
+        clock.advance(-1)
+    w, recorder = etl(), runtime.Recorder({"extract": {"rows": 101}, "transform": OSError("no")})
+    recorder.rehearse(w)
+    out = dsl.Engine(spark, clock=clock).run(w)
+    assert recorder.calls == [("extract", 1), ("transform", 1), ("archive", 1)] and out.states["load"] == "upstream_failed"
+    stop, engine = dsl.Workflow("stopping"), dsl.Engine(spark, clock=clock)
+    stop.task("a", lambda: engine.cancel("enough")) >> stop.task("b", print)
+    out = engine.run(stop)
+    assert out.state == "cancelled" and out.states == {"a": "succeeded", "b": "cancelled"}
+    assert replay.replay_runs(out.log(spark)).first().state == "cancelled"

@@ -167,7 +167,9 @@ class App:
         one = events.where(F.col("run_id") == run_id)
         runs, tasks = replay.replay_runs(one), replay.replay_tasks(one)
         rows = timeline.bars(timeline.timeline(runs, tasks), self.args.width).orderBy("pos").collect()
+        self.say(timeline.ruler(rows[0].origin, rows[0].span) if rows else "no tasks")
         self.say(store.render_table(["task", "timeline", "attempts"], [[r.task, r.bar, r.attempts or None] for r in rows]))
+        self.say(timeline.legend(rows))
         if self.args.file:
             edges = self.workflow().tables(self.spark)[1].select("up", "down")
             path = [r.task for r in graph.critical_path(tasks, edges).orderBy("pos").collect()]

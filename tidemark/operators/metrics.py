@@ -21,8 +21,8 @@ def top(tallied: DataFrame, key: str, k: int = 5) -> DataFrame:
 
 def shares(tallied: DataFrame, key: str) -> DataFrame:
     """key, share of the total."""
-    total = tallied.agg(F.sum("n").alias("total"))
-    return tallied.join(F.broadcast(total), how="inner", on=F.lit(True)).where("total <> 0").select(key, (F.col("n") / F.col("total")).alias("share"))
+    total = tallied.agg(F.sum("n")).scalar()
+    return tallied.withColumn("total", total).where("total <> 0").select(key, (F.col("n") / F.col("total")).alias("share"))
 
 
 def task_tallies(tasks: DataFrame) -> DataFrame:
@@ -79,8 +79,9 @@ def quantiles(values: DataFrame, column: str, fractions: tuple[float, ...]) -> D
     own = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
     placed = ranged.withColumn("until", own).join(F.broadcast(starts), F.col("part") == F.col("p")).select("v", (F.col("start") + F.col("until") - F.col("n")).alias("low"), (F.col("start") + F.col("until")).alias("high"), "total")
     asked = spark.createDataFrame([(float(f),) for f in fractions], "fraction double")
-    hit = placed.join(F.broadcast(asked), (F.rint(F.col("fraction") * (F.col("total") - 1)) >= F.col("low")) & (F.rint(F.col("fraction") * (F.col("total") - 1)) < F.col("high")))
-    found = hit.select(F.col("fraction").alias("f"), "v")
+    place = lambda f: F.rint(f * (F.col("total") - 1))
+    here = F.filter(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: (place(f) >= F.col("low")) & (place(f) < F.col("high")))
+    found = placed.select(F.explode(here).alias("f"), "v")
     return asked.join(F.broadcast(found), F.col("fraction") == F.col("f"), "left").select("fraction", F.coalesce("v", F.lit(0.0)).alias("value"))
 
 

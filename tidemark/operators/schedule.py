@@ -339,6 +339,13 @@ class Calendar:
         fits = ~F.weekday(day).isin(*self.weekend) if self.weekend else F.lit(True)
         return fits & ~day.isin(*sorted(self.holidays)) if self.holidays else fits
 
+    def describe(self) -> str:
+        names = {(v + 6) % 7: k for k, v in WEEKDAYS.items()}
+        said = ["closed " + ",".join(names[d] for d in sorted(self.weekend))] if self.weekend else []
+        said += [f"{len(self.holidays)} holiday(s)"] if self.holidays else []
+        said += ["open " + ",".join(f"{a // 60:02d}:{a % 60:02d}-{b // 60:02d}:{b % 60:02d}" for a, b in self.windows)] if self.windows else []
+        return f"{self.name}: " + ("; ".join(said) or "always open")
+
     def is_open(self, at: float) -> bool:
         moment = _utc(at)
         return self.business(moment.date()) and self._in(moment.hour * 60 + moment.minute)
@@ -445,6 +452,12 @@ class Entry:
             return None
         raise ScheduleError(f"{self.name!r} skipped {SKIPS} fires in a row")
 
+    def describe(self) -> str:
+        said = [f"{self.name} -> {self.workflow}", self.trigger.describe()]
+        if self.calendar != Calendar():
+            said += [self.calendar.describe(), f"on closed: {self.on_closed}"]
+        return " | ".join(said) + ("" if self.enabled else " [disabled]")
+
     def fires(self, spark: SparkSession, start: float, end: float) -> DataFrame:
         """at, in (start, end]; a deferred fire takes those with it that fall into the same closed time."""
         if not self.enabled:

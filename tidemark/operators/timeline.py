@@ -58,3 +58,16 @@ def busiest_moment(rows: DataFrame, samples: int = 64) -> DataFrame:
     i = F.coalesce(-F.col("b.k"), F.lit(0))
     flat = F.col("span") <= 0
     return joined.select("run_id", F.when(flat, F.col("origin")).otherwise(instant(i)).alias("at"), F.when(flat, F.col("placed")).otherwise(F.coalesce("b.running", F.lit(0))).cast("long").alias("running"))
+
+
+def legend(rows: list) -> str:
+    """What the marks of collected rows of timeline() mean."""
+    used = sorted({r.state for r in rows if r.started_at is not None and r.finished_at is not None})
+    return "  ".join(f"{MARKS.get(s, OTHER)} {s}" for s in used)
+
+
+def ruler(origin: float, span: float) -> str:
+    """The line above a drawn timeline: its ends and its length."""
+    from tidemark.functions.scalars import format_duration, iso_text
+
+    return f"{iso_text(origin)} .. {iso_text(origin + span)} ({format_duration(span)})"
