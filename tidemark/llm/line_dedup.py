@@ -42,9 +42,12 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     A blank line is never boilerplate; a line that a page repeats counts once for it.
     """
     keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r")) != ""), key_of))
-    on = pages.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    total = pages.groupBy("host").agg(F.count("*").alias("total")).withColumnRenamed("host", "of")
-    return on.join(total, F.col("host") == F.col("of")).where(F.col("pages") > F.col("total") * ratio).select("host", "key")
+    # A null key on each page counts the pages in the same pass.
+    every = F.concat(keys, F.array(F.lit(None).cast("long")))
+    counted = materialize(pages.select("host", F.explode(every).alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages")).where((F.col("pages") >= min_pages) | F.col("key").isNull()), "line-counts")
+    total = counted.where("key is null").select(F.col("host").alias("of"), F.col("pages").alias("total"))
+    on = counted.where("key is not null").join(total, F.col("host") == F.col("of"))
+    return on.where(F.col("pages") > F.col("total") * ratio).select("host", "key")
 
 
 def line_dedup(docs: DataFrame, host: Column, ratio: float = 0.1, min_pages: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
