@@ -550,3 +550,109 @@ def admission(spark, d):
     t = views.tasks(spark, d).select("run_id", "task", "pos", (F.col("attempts") % 3).alias("priority"), F.create_map(F.lit("p"), (F.col("attempts") % 2 + 1).cast("int")).alias("requests"))
     out = policy.admit(t, F.create_map(F.lit("p"), F.lit(4)))
     return out.select("run_id", F.array_join("admitted", " ").alias("admitted"), F.element_at("free", F.lit("p")).alias("left_over"))
+
+
+# More of the inventory -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(CAST(props::JSON ->> '$.k' AS BIGINT) * 3600 + event_id % 60 * 60 + 30 AS DOUBLE) AS seconds FROM events")
+def scalar_durations(spark, d):
+    text = F.concat(F.get_json_object("props", "$.k"), F.lit("h "), (F.col("event_id") % 60).cast("string"), F.lit("m30"))
+    return views.table(spark, d, "events").select("event_id", scalars.duration_seconds(text).alias("seconds"))
+
+
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS DOUBLE) AS compact, CAST(epoch(o_orderdate) AS DOUBLE) AS iso FROM orders")
+def scalar_parse_timestamps(spark, d):
+    from tidemark.sources.event_log import parse_timestamp
+
+    rows = views.table(spark, d, "orders").select("o_orderkey", scalars.compact(views.epoch("o_orderdate")).alias("c"), scalars.iso(views.epoch("o_orderdate")).alias("i"))
+    return rows.select("o_orderkey", parse_timestamp(F.col("c")).alias("compact"), parse_timestamp(F.col("i")).alias("iso"))
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z][A-Za-z0-9_.-]*') AND length(p_name) <= 96 AS valid, p_brand || '::' || p_type AS qualified, p_brand AS workflow FROM part")
+def scalar_names(spark, d):
+    qualified = scalars.qualify(F.col("p_brand"), F.col("p_type"))
+    return views.table(spark, d, "part").select("p_partkey", scalars.valid_name(F.col("p_name")).alias("valid"), qualified.alias("qualified"), scalars.split_qualified(qualified)["workflow"].alias("workflow"))
+
+
+@query("SELECT event_id, CAST(epoch(CAST(min(dd) AS TIMESTAMP)) AS DOUBLE) AS next FROM (SELECT event_id, CAST(ts AS DATE) + CAST(k AS INTEGER) AS dd FROM events, range(1, 8) AS g(k)) WHERE dayofweek(dd) BETWEEN 1 AND 5 GROUP BY event_id")
+def calendar_next_business_day(spark, d):
+    return views.table(spark, d, "events").select("event_id", schedule.Calendar.of().next_business_at(views.epoch("ts")).alias("next"))
+
+
+@query(f"WITH {_MINUTES_SQL}, f AS (SELECT {_AT_SQL} AS at, t FROM minutes WHERE minute(t) = 0 AND hour(t) % 6 = 0 AND epoch(t) > {_T0} AND epoch(t) <= {_T0 + 60 * 86400}), a AS (SELECT CASE WHEN dayofweek(t) BETWEEN 1 AND 5 AND hour(t) = 12 THEN at ELSE (SELECT min(epoch(CAST(CAST(f.t AS DATE) + CAST(k AS INTEGER) AS TIMESTAMP)) + 32400) FROM range(0, 5) AS g(k) WHERE dayofweek(CAST(f.t AS DATE) + CAST(k AS INTEGER)) BETWEEN 1 AND 5 AND epoch(CAST(CAST(f.t AS DATE) + CAST(k AS INTEGER) AS TIMESTAMP)) + 32400 >= epoch(f.t)) END AS at FROM f) SELECT DISTINCT CAST(at AS DOUBLE) AS at FROM a WHERE at <= {_T0 + 60 * 86400}")
+def timetable_defer(spark, d):
+    entry = schedule.Entry("e", "w", schedule.make_trigger("0 */6 * * *"), schedule.Calendar.of(windows=["09:00-17:00"]), on_closed="defer")
+    return entry.fires(spark, _T0, _T0 + 60 * 86400)
+
+
+@query(f"""WITH {TASKS_SQL}, {_EDGES_SQL}, s AS (SELECT r.run_id, e.down AS task, coalesce(t.state, 'pending') AS state, e.pos, e.up FROM (SELECT DISTINCT run_id FROM tasks) r, edges e LEFT JOIN tasks t ON t.task = e.up AND t.run_id = r.run_id),
+a AS (SELECT run_id, task, count(*) AS n, count(*) FILTER (state = 'succeeded') AS good, count(*) FILTER (state = 'failed') AS bad, count(*) FILTER (state = 'skipped') AS skips, string_agg(up, ', ' ORDER BY pos) FILTER (state = 'pending') AS open,
+ string_agg(up, ', ' ORDER BY pos) FILTER (state = 'failed') AS blamed, string_agg(up, ', ' ORDER BY pos) FILTER (state <> 'succeeded') AS unmet FROM s GROUP BY ALL)
+SELECT run_id, task, CASE WHEN bad > 0 THEN 'upstream_failed' WHEN skips > 0 THEN 'skip' WHEN good = n THEN 'run' ELSE 'wait' END AS verdict,
+ CASE WHEN bad > 0 THEN 'upstream ' || blamed || ' did not succeed' WHEN skips > 0 THEN 'trigger rule all_success not satisfied (' || unmet || ')' WHEN good = n THEN 'all_success' ELSE 'waiting for ' || open END AS reason FROM a""")
+def task_verdicts(spark, d):
+    tasks, edges = views.tasks(spark, d), _graph(spark)[1]
+    into = tasks.select("run_id").distinct().withColumn("e", F.lit(1)).join(F.broadcast(edges.withColumn("e", F.lit(1))), "e").drop("e")
+    seen = into.join(tasks.select("run_id", F.col("task").alias("up"), "state"), ["run_id", "up"], "left")
+    rows = seen.select("run_id", F.col("down").alias("task"), F.col("up").alias("upstream"), "pos", F.lit("all_success").alias("rule"), F.coalesce("state", F.lit("pending")).alias("effective"))
+    return policy.decide(rows, ["run_id", "task"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'cancelled' WHEN c_custkey % 4 + 1 >= 3 THEN 'exhausted' WHEN c_mktsegment <> 'BUILDING' AND c_mktsegment <> 'MACHINERY' THEN 'not_listed' ELSE 'retry' END AS decision FROM customer")
+def retry_decisions(spark, d):
+    p = policy.Retry(max_attempts=3, retry_on=("BUILDING", "MACHINERY"))
+    return views.table(spark, d, "customer").select("c_custkey", p.decision(F.col("c_custkey") % 4 + 1, F.array("c_mktsegment"), F.col("c_nationkey") == 7).alias("decision"))
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id, CASE WHEN workflow = '5-LOW' AND state = 'failed' THEN 'succeeded' ELSE state END AS outcome FROM runs")
+def failure_policies(spark, d):
+    kind = F.when(F.col("workflow") == "5-LOW", "isolate").otherwise("continue")
+    return views.runs(spark, d).select("run_id", policy.run_outcome(F.col("state"), kind).alias("outcome"))
+
+
+@query(f"WITH {REPLAY_SQL} SELECT run_id, task, state FROM timed WHERE state NOT IN ('succeeded', 'failed')")
+def cancellable_tasks(spark, d):
+    return policy.cancellable(_replayed(spark, d)).select("run_id", "task", "state")
+
+
+@query(f"""WITH RECURSIVE {TASKS_SQL}, {_EDGES_SQL}, st AS (SELECT run_id, task AS node, CASE state WHEN 'skipped' THEN 'pending' ELSE state END AS state FROM tasks),
+hit AS (SELECT s.run_id, e.down AS node FROM st s JOIN edges e ON s.node = e.up AND s.state = 'failed' JOIN st o ON o.run_id = s.run_id AND o.node = e.down AND o.state = 'pending'
+ UNION SELECT h.run_id, e.down FROM hit h JOIN edges e ON h.node = e.up JOIN st o ON o.run_id = h.run_id AND o.node = e.down AND o.state = 'pending') SELECT run_id, node FROM hit""")
+def affected_by_failure(spark, d):
+    states = views.tasks(spark, d).select("run_id", F.col("task").alias("node"), F.when(F.col("state") == "skipped", "pending").otherwise(F.col("state")).alias("state"))
+    edges = states.select("run_id").distinct().withColumn("e", F.lit(1)).join(F.broadcast(_graph(spark)[1].select("up", "down", F.lit(1).alias("e"))), "e").drop("e")
+    return graph.affected(edges, states, ["run_id"])
+
+
+@query(f"WITH {_EDGES_SQL} SELECT down AS node, string_agg(up, ',' ORDER BY pos) AS neighbours FROM edges GROUP BY down")
+def graph_adjacency(spark, d):
+    return graph.adjacency(_graph(spark)[1]).select("node", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query("SELECT i - 1 AS level, 't' || i AS tasks FROM range(1, 8) AS a(i)")
+def graph_waves(spark, d):
+    nodes, edges = _graph(spark)
+    return graph.waves(nodes, graph.levels(nodes, edges)).select(F.col("level").cast("long").alias("level"), F.array_join("tasks", ",").alias("tasks"))
+
+
+@query(f"WITH {_EDGES_SQL} SELECT up, down FROM edges WHERE up IN ('t2', 't3', 't4') AND down IN ('t2', 't3', 't4')")
+def graph_subgraph(spark, d):
+    nodes, edges = _graph(spark)
+    return graph.subgraph(nodes, edges, nodes.where("node in ('t2', 't3', 't4')"))[1].select("up", "down")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(p_type, 'O') AND p_size > 10 AND p_brand IS NOT NULL")
+def task_spec_filter(spark, d):
+    specs = views.table(spark, d, "part").select("p_partkey", F.filter(F.split("p_type", ""), lambda c: c != "").alias("tags"), F.create_map(F.when(F.col("p_size") > 10, "big").otherwise("small"), F.col("p_size")).alias("resources"))
+    return runquery.specs_matching(specs, tag="O", pool="big").select("p_partkey")
+
+
+@query(f"WITH {RUNS_SQL} SELECT count(*) AS count, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state = 'failed') AS failed FROM runs")
+def export_summary(spark, d):
+    return store.runs_summary(views.runs(spark, d))
+
+
+@query(f"WITH {EVENTS_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind ORDER BY seq) AS n FROM ev) SELECT run_id, kind, seq FROM e WHERE n = 1")
+def first_of_each_kind(spark, d):
+    return runquery.stable_unique(views.events(spark, d), ["run_id", "kind"], "seq").select("run_id", "kind", "seq")
