@@ -86,8 +86,11 @@ def _keys(kind: int, parts: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def link_keys(values: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) pairs: those a fingerprint is filed under, or those it is looked for under (probing)."""
+def link_keys(values: np.ndarray, probing: bool, triple: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) pairs: those a fingerprint is filed under, or those it is looked for under (probing).
+
+    Without triple the keys of three codewords, most of all keys, are left out.
+    """
     exact = _segments(values)
     codes = []
     for s, (_, width) in zip(exact, SEGMENTS):
@@ -111,8 +114,9 @@ def link_keys(values: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray
             if i != j:
                 add(_keys(kind, [(exact[i][:, None], 22), (codes[j][0], 12)]), codes[j][1])
                 kind += 1
-    (a, ka), (b, kb), (c, kc) = codes
-    add(_keys(kind, [(a[:, :, None, None], 12), (b[:, None, :, None], 12), (c[:, None, None, :], 12)]), ka[:, :, None, None] & kb[:, None, :, None] & kc[:, None, None, :])
+    if triple:
+        (a, ka), (b, kb), (c, kc) = codes
+        add(_keys(kind, [(a[:, :, None, None], 12), (b[:, None, :, None], 12), (c[:, None, None, :], 12)]), ka[:, :, None, None] & kb[:, None, :, None] & kc[:, None, None, :])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -165,10 +169,11 @@ def hex_of(fingerprint: Column) -> Column:
 
 # Near-duplicates by the similarity of their shingles -----------------------------------------------------------------
 
-#: Fingerprints of a document's distinct words, by the seeds of their hashes.
+#: Fingerprints of a document's distinct words, two for each seed of a 128-bit hash.
 WORD_SEEDS = (42, 43)
+PRINTS = 2 * len(WORD_SEEDS)
 #: Pairs that differ in more bits of all these fingerprints together aren't compared further.
-WORD_BITS = 14
+WORD_BITS = 44
 #: Bins of the shingle sketch, 2 bytes each.
 BINS = 512
 
@@ -194,6 +199,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(1, either)
 
 
+def word_prints(words: list[bytes]) -> list[int]:
+    """PRINTS independent fingerprints of a set of words."""
+    out = []
+    for seed in WORD_SEEDS:
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), np.uint64).reshape(-1, 2)
+        out += [majority(np.ascontiguousarray(both[:, n])) for n in (0, 1)]
+    return out
+
+
 def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, words (16 bytes that stand for the sequence of words), f (fingerprints of the distinct words), sketch."""
     rows = text_rows(docs, id_col, text_col)
@@ -204,33 +218,19 @@ def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
             words = words_of(text)
             distinct = sorted(set(words))
             out["words"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-            out["f"].append([majority(shingle_hashes(distinct, 1, s)) for s in WORD_SEEDS])
+            out["f"].append(word_prints(distinct))
             out["sketch"].append(sketch(shingle_hashes(words, shingle)))
         return out
 
     return map_rows(rows, run, schema_of(rows, ["doc_id"], "words binary, f array<long>, sketch binary"))
 
 
-def pair_keys(values: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) pairs of the codewords of two segments, each pair of segments a kind of its own.
-
-    At most one of three segments has over a third of all errors; so of few errors, two segments have one or none each.
-    """
-    codes = [golay.nearby(s, w) if probing else (golay.index(s)[:, None], np.ones((len(s), 1), bool)) for s, (_, w) in zip(_segments(values), SEGMENTS)]
-    rows, keys = [], []
-    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (a, ka), (b, kb) = codes[i], codes[j]
-        found, keep = _keys(kind, [(a[:, :, None], 12), (b[:, None, :], 12)]), ka[:, :, None] & kb[:, None, :]
-        rows.append(np.broadcast_to(np.arange(len(values))[:, None, None], found.shape)[keep])
-        keys.append(found[keep])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 def _met(nodes: DataFrame) -> DataFrame:
     """a, b (a < b): documents that share a key, each met with the first and the last one before it that is filed there.
 
-    So the pairs grow with the rows, not with the square of a key's rows; what chains of near copies leave out is found
-    under their other keys.
+    Keys are those of links() but for the triple ones: a segment of one of the fingerprints is the same, and another has
+    an error or none (or meets by chance). So the pairs grow with the rows, not with the square of a key's rows; what
+    chains of near copies leave out is found under their other keys.
     """
     ship(nodes.sparkSession)
 
@@ -239,10 +239,10 @@ def _met(nodes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                for n in range(len(WORD_SEEDS)):
+                for n in range(PRINTS):
                     values = np.array([f[n] for f in part.column(1).to_pylist()], np.int64)
                     for probing in (False, True):
-                        rows, keys = pair_keys(values, probing)
+                        rows, keys = link_keys(values, probing, triple=False)
                         yield pa.RecordBatch.from_arrays([pa.array(keys | n << 60), pa.array(ids[rows]), pa.array(np.full(len(rows), not probing))], ["key", "id", "filed"])
 
     rows = nodes.select("id", "f").mapInArrow(run, "key long, id long, filed boolean")
