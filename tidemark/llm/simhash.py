@@ -226,7 +226,9 @@ def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """a, b (a < b): documents that share a key, each met with the first and the last one before it that is filed there.
+    """a, b (a < b): documents that share a key, each met with the first one that is filed there.
+
+    Where a document is filed itself it also meets the last one filed before it.
 
     Keys are those of links() but for the triple ones: a segment of one of the fingerprints is the same, and another has
     an error or none (or meets by chance). So the pairs grow with the rows, not with the square of a key's rows; what
@@ -248,7 +250,8 @@ def _met(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("id", "f").mapInArrow(run, "key long, id long, filed boolean")
     before = Window.partitionBy("key").orderBy("id", "filed").rowsBetween(Window.unboundedPreceding, -1)
     one = F.when(F.col("filed"), F.col("id"))
-    ends = F.array_distinct(F.array(F.first(one, ignorenulls=True).over(before), F.last(one, ignorenulls=True).over(before)))
+    last = F.when(F.col("filed"), F.last(one, ignorenulls=True).over(before))
+    ends = F.array_distinct(F.array(F.first(one, ignorenulls=True).over(before), last))
     return rows.select("id", ends.alias("ends")).select(F.explode("ends").alias("a"), F.col("id").alias("b")).where("a < b").distinct()
 
 
