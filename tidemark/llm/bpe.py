@@ -36,8 +36,8 @@ START = 1 << 23
 CONTEXT = 3
 #: Characters of an unfinished match that are held back before they are passed on as an open run.
 OPEN = 1024
-#: Entries of a memo (of a generation).
-MEMO = 250_000
+#: Entries of a generation of a memo: of pre-tokens (some 200 bytes each), and of pairs of tokens.
+MEMO, PAIRS = 500_000, 250_000
 #: Pieces above this length go through the stream and aren't kept in the memo.
 MEMO_PIECE = 64
 
@@ -72,7 +72,7 @@ class Vocabulary:
         self._automaton()
         self.right = {i: self._spine(i, 2) for i in self.ids.values()}
         self.left = {i: self._spine(i, 1) for i in self.ids.values()}
-        self.pairs = Memo(MEMO)
+        self.pairs = Memo(PAIRS)
         self.spaced, self.plain, self.now = Memo(MEMO), Memo(MEMO), Word(self)
 
     def word(self, piece: str) -> bytes:
@@ -122,7 +122,7 @@ class Vocabulary:
                     self.ending[child] = ((token_at[child],) if child in token_at else ()) + self.ending[self.fall[child]]
                     after.append(child)
             level = after
-        self.trie_moves, self.most_moves = len(move), len(move) + MEMO
+        self.trie_moves, self.most_moves = len(move), len(move) + PAIRS
 
     def step(self, state: int, byte: int) -> int:
         """The move of a state that isn't in move yet."""
