@@ -299,7 +299,7 @@ def timeline_busiest(spark, d):
 
 
 #: A definition to ask graph questions about: each line of an order depends on the two before it.
-_EDGES_SQL = "edges AS (SELECT 't' || (i - k) AS up, 't' || i AS down, i * 2 + k AS pos FROM range(1, 8) AS a(i), range(1, 3) AS b(k) WHERE i - k >= 1)"
+_EDGES_SQL = "edges AS (SELECT 't' || (i - k) AS up, 't' || i AS down, CAST(i * 2 + k AS INTEGER) AS pos FROM range(1, 8) AS a(i), range(1, 3) AS b(k) WHERE i - k >= 1)"
 _CLOSURE_SQL = f"RECURSIVE {_EDGES_SQL}, paths AS (SELECT up, down FROM edges UNION SELECT p.up, e.down FROM paths p JOIN edges e ON p.down = e.up)"
 
 
@@ -357,7 +357,7 @@ EXPRESSIONS = {
     "division": ("c_custkey / 4", "CAST(c_custkey AS DOUBLE) / 4"),
     "floor_div": ("(c_nationkey - 10) // 3", "CAST(floor(CAST(c_nationkey - 10 AS DOUBLE) / 3) AS BIGINT)"),
     "floor_mod": ("(c_nationkey - 10) % 3", "c_nationkey - 10 - CAST(floor(CAST(c_nationkey - 10 AS DOUBLE) / 3) AS BIGINT) * 3"),
-    "negative": ("-c_nationkey", "-c_nationkey"),
+    "negative": ("-c_nationkey", "CAST(-c_nationkey AS BIGINT)"),
     "compare": ("c_acctbal > 0 and c_mktsegment <= 'F'", "c_acctbal > 0 AND c_mktsegment <= 'F'"),
     "deciding": ("c_nationkey or c_custkey", "CASE WHEN c_nationkey <> 0 THEN c_nationkey ELSE c_custkey END"),
     "negation": ("not c_nationkey", "c_nationkey = 0"),
@@ -369,7 +369,7 @@ EXPRESSIONS = {
     "length": ("len(c_name)", "length(c_name)"),
     "containing": ("contains(c_mktsegment, 'E')", "contains(c_mktsegment, 'E')"),
     "list_sum": ("sum([c_nationkey, 1, 2])", "CAST(c_nationkey + 3 AS DOUBLE)"),
-    "extremes": ("max([c_nationkey, 7]) - min([c_nationkey, 7])", "greatest(c_nationkey, 7) - least(c_nationkey, 7)"),
+    "extremes": ("max([c_nationkey, 7]) - min([c_nationkey, 7])", "CAST(greatest(c_nationkey, 7) - least(c_nationkey, 7) AS BIGINT)"),
     "to_int": ("int(c_acctbal) + int('12')", "CAST(trunc(c_acctbal) AS BIGINT) + 12"),
     "to_text": ("string(c_nationkey) + string(true)", "CAST(c_nationkey AS VARCHAR) || 'true'"),
     "truth": ("bool(c_nationkey)", "c_nationkey <> 0"),
@@ -385,8 +385,8 @@ EXPRESSIONS = {
     "any_all": ("any([c_nationkey, 0]) and all([c_custkey, 1])", "c_nationkey <> 0 AND c_custkey <> 0"),
     "counting": ("count(c_mktsegment, 'U')", "length(c_mktsegment) - length(replace(c_mktsegment, 'U', ''))"),
     "durations": ("duration(string(c_nationkey) + 'm30s')", "CAST(c_nationkey * 60 + 30 AS DOUBLE)"),
-    "list_get": ("get([10, 20, 30], c_nationkey, -1)", "CASE WHEN c_nationkey < 3 THEN (c_nationkey + 1) * 10 ELSE -1 END"),
-    "ordered": ("sorted([c_nationkey, 5, 9])[1]", "list_sort([c_nationkey, 5, 9])[2]"),
+    "list_get": ("get([10, 20, 30], c_nationkey, -1)", "CAST(CASE WHEN c_nationkey < 3 THEN (c_nationkey + 1) * 10 ELSE -1 END AS BIGINT)"),
+    "ordered": ("sorted([c_nationkey, 5, 9])[1]", "CAST(list_sort([c_nationkey, 5, 9])[2] AS BIGINT)"),
 }
 
 
