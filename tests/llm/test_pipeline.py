@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
+from tidemark.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,20 @@ def test_whole_run(spark):
     first = min((r for r in out if r.doc_tokens < 1024), key=lambda r: r.doc_id)
     text = next(r.text for r in docs.collect() if r.doc_id == first.doc_id)
     assert set(t.decode(memoryview(bytes(first.ids)).cast("I").tolist()[:-1]).split()) <= set(text.split()) | {"[secret]"}
+
+
+def test_a_hot_group_of_near_copies_is_one_class_and_meets_in_few_pairs(spark):
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefghijkl", k=rnd.randint(3, 8))) for _ in range(700)]
+    base = [rnd.choice(vocabulary) for _ in range(180)]
+    rows = []
+    for n in range(400):
+        copy = list(base)
+        for _ in range(2):
+            copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
+        rows.append((n, " ".join(copy), "s"))
+    docs = frame(spark, rows)
+    classes = simhash.similar_classes(docs).collect()
+    assert len(classes) == 400 and sum(r.component_id == 0 for r in classes) >= 396
+    nodes = simhash._described(docs, 5, "doc_id", "text").selectExpr("doc_id as id", "f")
+    assert simhash._met(nodes).count() <= 25 * 400
