@@ -228,7 +228,8 @@ def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 def _met(nodes: DataFrame) -> DataFrame:
     """a, b (a < b): documents that share a key, each met with the first one that is filed there.
 
-    Where a document is filed itself it also meets the last one filed before it.
+    Where a document is filed itself it also meets the last one filed before it. One meeting may be chance: pairs that
+    meet once count only if the later document meets none more often.
 
     Keys are those of links() but for the triple ones: a segment of one of the fingerprints is the same, and another has
     an error or none (or meets by chance). So the pairs grow with the rows, not with the square of a key's rows; what
@@ -252,7 +253,10 @@ def _met(nodes: DataFrame) -> DataFrame:
     one = F.when(F.col("filed"), F.col("id"))
     last = F.when(F.col("filed"), F.last(one, ignorenulls=True).over(before))
     ends = F.array_distinct(F.array(F.first(one, ignorenulls=True).over(before), last))
-    return rows.select("id", ends.alias("ends")).select(F.explode("ends").alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+    pairs = rows.select("id", ends.alias("ends")).select(F.explode("ends").alias("a"), F.col("id").alias("b")).where("a < b")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    most = F.max("n").over(Window.partitionBy("b"))  # a document has fewer rows than keys
+    return counted.withColumn("most", most).where((F.col("n") > 1) | (F.col("n") == F.col("most"))).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
