@@ -154,12 +154,19 @@ class Cron:
             day += timedelta(days=way)
         return None
 
+    @property
+    def reach(self) -> int:
+        """Days within which a day matches, if any does: a week by weekday, two months by day of the month, else the whole search."""
+        if "month" not in self.free:
+            return SEARCH_DAYS
+        return 7 if "day" in self.free else 62
+
     def next_fire(self, at: Column) -> Column:
         """next_after() of a column."""
         times = F.array(*[F.lit(m) for m in self.minutes])
         day, minute = _day_of(at), _minute_of(at)
         today = F.when(self.on_date(_date_of(day)), F.array_min(F.filter(times, lambda m: m > minute)))
-        ahead = F.get(F.filter(F.sequence(F.lit(1), F.lit(SEARCH_DAYS)), lambda k: self.on_date(_date_of(day + k))), F.lit(0))
+        ahead = F.get(F.filter(F.sequence(F.lit(1), F.lit(self.reach)), lambda k: self.on_date(_date_of(day + k))), F.lit(0))
         found = F.coalesce(day * F.lit(DAY) + today * 60, (day + ahead) * F.lit(DAY) + F.lit(self.minutes[0] * 60))
         first = F.floor(at / 60) * 60 + 60
         return F.when(found < first + SEARCH_DAYS * DAY, found.cast("double"))
@@ -350,6 +357,11 @@ class Calendar:
         moment = _utc(at)
         return self.business(moment.date()) and self._in(moment.hour * 60 + moment.minute)
 
+    @property
+    def reach(self) -> int:
+        """Days within which a business day lies: of h + 1 weeks' working days h at most are holidays."""
+        return min(ALIGN_DAYS - 1, 7 * (len(self.holidays) + 1)) if len(self.weekend) < 7 else ALIGN_DAYS - 1
+
     def _in(self, minute: int) -> bool:
         return not self.windows or any(in_window(minute, w) for w in self.windows)
 
@@ -380,7 +392,7 @@ class Calendar:
         day, minute = _day_of(at), _minute_of(at)
         starts = F.array(*[F.lit(a) for a, _ in self.windows]) if self.windows else F.array().cast("array<int>")
         today = F.when(self.business_date(_date_of(day)), F.array_min(F.filter(starts, lambda s: (s >= minute) & (s < 1440))))
-        ahead = F.get(F.filter(F.sequence(F.lit(1), F.lit(ALIGN_DAYS - 1)), lambda k: self.business_date(_date_of(day + k))), F.lit(0))
+        ahead = F.get(F.filter(F.sequence(F.lit(1), F.lit(self.reach)), lambda k: self.business_date(_date_of(day + k))), F.lit(0))
         later = (day + ahead) * F.lit(DAY) + F.lit((self._first_minute() or 0) * 60)
         found = F.coalesce(day * F.lit(DAY) + today * 60, later).cast("double")
         return F.when(self.open_at(at), at.cast("double")).otherwise(F.coalesce(found, F.raise_error(F.lit(f"calendar {self.name} never opens")).cast("double")))
@@ -395,7 +407,7 @@ class Calendar:
 
     def next_business_at(self, at: Column) -> Column:
         day = _day_of(at)
-        ahead = F.get(F.filter(F.sequence(F.lit(1), F.lit(ALIGN_DAYS)), lambda k: self.business_date(_date_of(day + k))), F.lit(0))
+        ahead = F.get(F.filter(F.sequence(F.lit(1), F.lit(self.reach)), lambda k: self.business_date(_date_of(day + k))), F.lit(0))
         return ((day + ahead) * F.lit(DAY)).cast("double")
 
     def business_days_between(self, start: float, end: float) -> int:
