@@ -12,6 +12,8 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the node's least neighbour (or itself)."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    # Written, so that both sides of the join are shuffled for it alone and Spark can split a node with very many neighbours.
+    least = materialize(least, "least")
     return both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").distinct()
 
 
