@@ -86,11 +86,8 @@ def _keys(kind: int, parts: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def link_keys(values: np.ndarray, probing: bool, triple: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) pairs: those a fingerprint is filed under, or those it is looked for under (probing).
-
-    Without triple the keys of three codewords, most of all keys, are left out.
-    """
+def link_keys(values: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) pairs: those a fingerprint is filed under, or those it is looked for under (probing)."""
     exact = _segments(values)
     codes = []
     for s, (_, width) in zip(exact, SEGMENTS):
@@ -114,9 +111,8 @@ def link_keys(values: np.ndarray, probing: bool, triple: bool = True) -> tuple[n
             if i != j:
                 add(_keys(kind, [(exact[i][:, None], 22), (codes[j][0], 12)]), codes[j][1])
                 kind += 1
-    if triple:
-        (a, ka), (b, kb), (c, kc) = codes
-        add(_keys(kind, [(a[:, :, None, None], 12), (b[:, None, :, None], 12), (c[:, None, None, :], 12)]), ka[:, :, None, None] & kb[:, None, :, None] & kc[:, None, None, :])
+    (a, ka), (b, kb), (c, kc) = codes
+    add(_keys(kind, [(a[:, :, None, None], 12), (b[:, None, :, None], 12), (c[:, None, None, :], 12)]), ka[:, :, None, None] & kb[:, None, :, None] & kc[:, None, None, :])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -169,11 +165,11 @@ def hex_of(fingerprint: Column) -> Column:
 
 # Near-duplicates by the similarity of their shingles -----------------------------------------------------------------
 
-#: Fingerprints of a document's distinct words, two for each seed of a 128-bit hash.
-WORD_SEEDS = (42, 43)
-PRINTS = 2 * len(WORD_SEEDS)
-#: Pairs that differ in more bits of all these fingerprints together aren't compared further.
-WORD_BITS = 44
+#: A document has a key for each of BANDS bands of ROWS minima of its shingles' hashes. A pair of similarity j misses all
+#: bands with a chance of (1 - j ** ROWS) ** BANDS, whatever the edits are: 3 in a million at 0.8.
+BANDS, ROWS = 32, 5
+#: Fixed odd factors: each one puts the hashes in another order.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 #: Bins of the shingle sketch, 2 bytes each.
 BINS = 512
 
@@ -199,61 +195,48 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(1, either)
 
 
-def word_prints(words: list[bytes]) -> list[int]:
-    """PRINTS independent fingerprints of a set of words."""
-    out = []
-    for seed in WORD_SEEDS:
-        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), np.uint64).reshape(-1, 2)
-        out += [majority(np.ascontiguousarray(both[:, n])) for n in (0, 1)]
-    return out
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band: the hash of the least of the shingle hashes in each of its ROWS orders. None for no shingles.
+
+    Hashes go through a block at a time, so a long text needs no array of all its products.
+    """
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + 1024]).min(axis=1), out=least)
+    packed, width = least.tobytes(), 8 * ROWS
+    keys = [xxhash.xxh3_64_intdigest(packed[n * width : (n + 1) * width], n) for n in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, words (16 bytes that stand for the sequence of words), f (fingerprints of the distinct words), sketch."""
+    """doc_id, words (16 bytes that stand for the sequence of words), f (band keys of the shingles), sketch."""
     rows = text_rows(docs, id_col, text_col)
 
     def run(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": c["doc_id"], "words": [], "f": [], "sketch": []}
         for text in c["text"]:
             words = words_of(text)
-            distinct = sorted(set(words))
+            hashes = shingle_hashes(words, shingle)
             out["words"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-            out["f"].append(word_prints(distinct))
-            out["sketch"].append(sketch(shingle_hashes(words, shingle)))
+            out["f"].append(band_keys(hashes))
+            out["sketch"].append(sketch(hashes))
         return out
 
     return map_rows(rows, run, schema_of(rows, ["doc_id"], "words binary, f array<long>, sketch binary"))
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """a, b (a < b): documents that share a key, each met with the first one that is filed there.
-
-    Where a document is filed itself it also meets the last one filed before it. One meeting may be chance: pairs that
-    meet once count only if the later document meets none more often.
+    """a, b (a < b): documents that share a key, each met with the first one of the key and the last one before it.
 
-    Keys are those of links() but for the triple ones: a segment of one of the fingerprints is the same, and another has
-    an error or none (or meets by chance). So the pairs grow with the rows, not with the square of a key's rows; what
-    chains of near copies leave out is found under their other keys.
+    One meeting may be chance: pairs that meet once count only if the later document meets none more often. So the pairs
+    grow with the rows, not with the square of a key's rows.
     """
-    ship(nodes.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                for n in range(PRINTS):
-                    values = np.array([f[n] for f in part.column(1).to_pylist()], np.int64)
-                    for probing in (False, True):
-                        rows, keys = link_keys(values, probing, triple=False)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys | n << 60), pa.array(ids[rows]), pa.array(np.full(len(rows), not probing))], ["key", "id", "filed"])
-
-    rows = nodes.select("id", "f").mapInArrow(run, "key long, id long, filed boolean")
-    before = Window.partitionBy("key").orderBy("id", "filed").rowsBetween(Window.unboundedPreceding, -1)
-    one = F.when(F.col("filed"), F.col("id"))
-    last = F.when(F.col("filed"), F.last(one, ignorenulls=True).over(before))
-    ends = F.array_distinct(F.array(F.first(one, ignorenulls=True).over(before), last))
-    pairs = rows.select("id", ends.alias("ends")).select(F.explode("ends").alias("a"), F.col("id").alias("b")).where("a < b")
+    before = Window.partitionBy("key").orderBy("id")
+    rows = nodes.select("id", F.explode("f").alias("key"))
+    ends = F.array(F.first("id").over(before), F.lag("id").over(before))
+    pairs = rows.select("id", F.array_distinct(ends).alias("ends")).select(F.explode("ends").alias("a"), F.col("id").alias("b")).where("a < b")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     most = F.max("n").over(Window.partitionBy("b"))  # a document has fewer rows than keys
     return counted.withColumn("most", most).where((F.col("n") > 1) | (F.col("n") == F.col("most"))).select("a", "b")
@@ -263,15 +246,12 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
     """doc_id, component_id: the least doc_id among the texts that chains of pairs with a similarity of least or more join.
 
     Similarity is that of the sets of shingles of `shingle` words (all words, if fewer). Texts with the same words in the
-    same order, A-Z in lower case, are one; those without words too. Candidates share Golay keys of a fingerprint of
-    their distinct words and differ in few bits of it; then their shingle sketches are compared. Rows of a null id are left out.
+    same order, A-Z in lower case, are one; those without words too. Candidates share a band key of their shingles; then
+    their shingle sketches are compared. Rows of a null id are left out.
     """
     described = materialize(_described(docs.where(F.col(id_col).isNotNull()), shingle, id_col, text_col), "described")
     nodes = materialize(described.groupBy("words").agg(F.min("doc_id").cast("long").alias("id"), F.min("f").alias("f")), "nodes")
-    side = lambda c: nodes.select(F.col("id").alias(f"{c}_id"), F.col("f").alias(f"{c}_f"))
-    met = _met(nodes).join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    bits = F.aggregate(F.zip_with("a_f", "b_f", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = materialize(met.where(bits <= WORD_BITS).select("a", "b"), "close")
+    close = materialize(_met(nodes), "close")
     ends = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
     named = described.select(F.col("doc_id").alias("id"), "words", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"])
     named = materialize(named.select("id", "sketch"), "sketches")
