@@ -42,3 +42,8 @@ def test_contiguous_edits_share_a_key():
                 pairs += 1
                 met += bool(set(simhash.band_keys(hashes(words))) & set(simhash.band_keys(hashes(copy))))
         assert met == pairs, (kind, met)
+
+
+def test_one_shared_key_is_a_meeting_whatever_else_a_document_meets(spark):
+    nodes = spark.createDataFrame([(1, [10, 11, 12]), (2, [20, 21]), (3, [10, 11, 12, 20]), (4, [21, 30])], "id long, f array<long>")
+    assert sorted(map(tuple, simhash._met(nodes).collect())) == [(1, 3), (2, 3), (2, 4)]

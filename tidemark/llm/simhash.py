@@ -230,16 +230,13 @@ def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 def _met(nodes: DataFrame) -> DataFrame:
     """a, b (a < b): documents that share a key, each met with the first one of the key and the last one before it.
 
-    One meeting may be chance: pairs that meet once count only if the later document meets none more often. So the pairs
-    grow with the rows, not with the square of a key's rows.
+    One meeting is enough. The pairs grow with the rows, not with the square of a key's rows.
     """
     before = Window.partitionBy("key").orderBy("id")
     rows = nodes.select("id", F.explode("f").alias("key"))
     ends = F.array(F.first("id").over(before), F.lag("id").over(before))
     pairs = rows.select("id", F.array_distinct(ends).alias("ends")).select(F.explode("ends").alias("a"), F.col("id").alias("b")).where("a < b")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    most = F.max("n").over(Window.partitionBy("b"))  # a document has fewer rows than keys
-    return counted.withColumn("most", most).where((F.col("n") > 1) | (F.col("n") == F.col("most"))).select("a", "b")
+    return pairs.distinct()
 
 
 def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
