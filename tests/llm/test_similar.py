@@ -47,3 +47,56 @@ def test_contiguous_edits_share_a_key():
 def test_one_shared_key_is_a_meeting_whatever_else_a_document_meets(spark):
     nodes = spark.createDataFrame([(1, [10, 11, 12]), (2, [20, 21]), (3, [10, 11, 12, 20]), (4, [21, 30])], "id long, f array<long>")
     assert sorted(map(tuple, simhash._met(nodes).collect())) == [(1, 3), (2, 3), (2, 4)]
+
+
+def family(rnd, n):
+    """Copies of a text, each with one block replaced: most pairs are below 0.8, and keys are shared by many."""
+    base = prose(rnd, 200)
+    out = []
+    for _ in range(n):
+        at = rnd.randrange(0, 170)
+        out.append(base[:at] + prose(rnd, 20) + base[at + 20 :])
+    return out
+
+
+def brute_force(sets, least=0.8):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(sets)):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def test_families_whose_keys_are_shared_by_many_get_the_classes_of_brute_force(spark, monkeypatch):
+    rnd = random.Random(21)
+    sets = [hashes(w) for _ in range(8) for w in family(rnd, 30)]
+    nodes = spark.createDataFrame([(i, simhash.band_keys(s)) for i, s in enumerate(sets)], "id long, f array<long>")
+    shared = simhash._shared(nodes)
+
+    def alike(pairs):
+        kept = [(r.a, r.b) for r in pairs.collect() if (both := len(np.intersect1d(sets[r.a], sets[r.b]))) >= 0.8 * (len(sets[r.a]) + len(sets[r.b]) - both)]
+        return spark.createDataFrame(kept, "a long, b long")
+
+    want = brute_force(sets)
+    for left in (8, 0):  # all at once, or by rounds first
+        monkeypatch.setattr(simhash, "LEFT", left)
+        roots = {r.node: r.root for r in simhash._classes(shared, alike).collect()}
+        assert [roots.get(i, i) for i in range(len(sets))] == want
+
+
+def test_a_pair_behind_the_first_and_the_last_of_its_key_is_compared(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, [7]) for i in range(1, 9)], "id long, f array<long>")
+    alike = lambda pairs: pairs.where("(a = 2 and b = 6) or (a = 4 and b = 8)")
+    assert alike(simhash._met(nodes)).count() == 0
+    for left in (8, 0):
+        monkeypatch.setattr(simhash, "LEFT", left)
+        assert sorted(map(tuple, simhash._classes(simhash._shared(nodes), alike).collect())) == [(6, 2), (8, 4)]

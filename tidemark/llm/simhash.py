@@ -19,7 +19,7 @@ Classes are the connected components of the links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +170,8 @@ def hex_of(fingerprint: Column) -> Column:
 BANDS, ROWS = 32, 5
 #: Fixed odd factors: each one puts the hashes in another order.
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
+#: Pairs left a document below which all are compared at once; documents that one is met with under a key in a round.
+LEFT, NEXT = 8, 3
 #: Bins of the shingle sketch, 2 bytes each.
 BINS = 512
 
@@ -227,16 +229,64 @@ def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
     return map_rows(rows, run, schema_of(rows, ["doc_id"], "words binary, f array<long>, sketch binary"))
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """key, id, first, before: documents under the keys that several have, with the first one of the key and the last one before it."""
+    order = Window.partitionBy("key").orderBy("id")
+    rows = nodes.select("id", F.explode("f").alias("key"))
+    rows = rows.select("key", "id", F.first("id").over(order).alias("first"), F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    return rows.where("before is not null or after is not null").drop("after")
+
+
+def _ends(shared: DataFrame) -> DataFrame:
+    """a, b (a < b): each document with the first one of each of its keys and the last one before it."""
+    ends = F.array_distinct(F.array("first", "before"))
+    return shared.select(F.explode(ends).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+
+
 def _met(nodes: DataFrame) -> DataFrame:
-    """a, b (a < b): documents that share a key, each met with the first one of the key and the last one before it.
+    """a, b (a < b): the pairs of the first round. One meeting is enough. The pairs grow with the rows, not with the square of a key's rows."""
+    return _ends(_shared(nodes))
 
-    One meeting is enough. The pairs grow with the rows, not with the square of a key's rows.
+
+def _classes(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root, as components() gives them, of all pairs that share a key and that alike keeps (it gets and returns a, b).
+
+    The first round compares _ends(). What is left then are pairs under a key whose documents are of several classes; those
+    of one class need no comparison. While there are more than LEFT of them a document, each document is met with its next
+    few under a key, in another random order each round, as long as that links any. All others are compared after that.
+    So no pair goes uncompared but within a class, and a hot group of near copies is one class before its pairs count.
     """
-    before = Window.partitionBy("key").orderBy("id")
-    rows = nodes.select("id", F.explode("f").alias("key"))
-    ends = F.array(F.first("id").over(before), F.lag("id").over(before))
-    pairs = rows.select("id", F.array_distinct(ends).alias("ends")).select(F.explode("ends").alias("a"), F.col("id").alias("b")).where("a < b")
-    return pairs.distinct()
+    compared = materialize(_ends(shared), "pairs")
+    linked = components(alike(compared))
+    nodes, turn, found = None, 0, True
+    while True:
+        rooted = shared.select("key", "id").join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        counts = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
+        pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+        open_keys = materialize(counts.groupBy(F.col("key").alias("k")).agg(pairs.alias("pairs")).where("pairs > 0"), "open")
+        left = open_keys.agg(F.sum("pairs")).first()[0]
+        if not left:
+            return linked
+        rest = materialize(rooted.join(open_keys, F.col("key") == F.col("k"), "left_semi"), "rest")
+        nodes = nodes or shared.select("id").distinct().count()
+        whole = left <= LEFT * nodes or not found
+        if whole:
+            x, y = (rest.select(F.col("key").alias(f"{c}_key"), F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+            meet = x.join(y, (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")))
+        else:
+            order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+            later = F.array(*[F.struct(F.lead("id", n).over(order).alias("id"), F.lead("root", n).over(order).alias("root")) for n in range(1, NEXT + 1)])
+            meet = rest.select("id", "root", later.alias("later")).select("id", "root", F.explode("later").alias("x")).where("x.root <> root")
+            meet = meet.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b"))
+        known = compared.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        new = materialize(meet.select("a", "b").distinct().join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "pairs")
+        links = materialize(alike(new), "links")
+        found, turn = bool(links.count()), turn + 1
+        if found:
+            linked = components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(links))
+        if whole:
+            return linked
+        compared = compared.unionAll(new)
 
 
 def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,12 +298,10 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
     """
     described = materialize(_described(docs.where(F.col(id_col).isNotNull()), shingle, id_col, text_col), "described")
     nodes = materialize(described.groupBy("words").agg(F.min("doc_id").cast("long").alias("id"), F.min("f").alias("f")), "nodes")
-    close = materialize(_met(nodes), "close")
-    ends = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
-    named = described.select(F.col("doc_id").alias("id"), "words", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    shared = materialize(_shared(nodes), "shared")
+    named = described.select(F.col("doc_id").alias("id"), "words", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     named = materialize(named.select("id", "sketch"), "sketches")
     side = lambda c: named.select(F.col("id").alias(f"{c}_id"), F.col("sketch").alias(f"{c}_s"))
-    compared = close.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).select("a", "b", "a_s", "b_s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +311,11 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
                 keep = pa.array(similarity(x, y) >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    linked = components(compared.mapInArrow(run, "a long, b long"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+        return met.select("a", "b", "a_s", "b_s").mapInArrow(run, "a long, b long")
+
+    linked = _classes(shared, alike)
     named = nodes.join(linked, F.col("id") == F.col("node"), "left").select(F.col("words").alias("w"), F.coalesce("root", "id").alias("component_id"))
     named = materialize(named, "classes")
     return described.select("doc_id", "words").join(named, F.col("words") == F.col("w")).select("doc_id", "component_id")
