@@ -100,3 +100,14 @@ def test_a_pair_behind_the_first_and_the_last_of_its_key_is_compared(spark, monk
     for left in (8, 0):
         monkeypatch.setattr(simhash, "LEFT", left)
         assert sorted(map(tuple, simhash._classes(simhash._shared(nodes), alike).collect())) == [(6, 2), (8, 4)]
+
+
+def test_long_texts_next_to_the_limit_fall_on_the_right_side(spark):
+    rnd = random.Random(5)
+    rows, want = [], set()
+    for n in range(30):
+        words = prose(rnd, 804)  # 800 shingles; 200 more make 0.8, 206 more 0.795
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words + prose(rnd, 200 if n % 2 else 206)))]
+        want |= {2 * n + 1} if n % 2 else set()
+    out = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.component_id != r.doc_id} == want

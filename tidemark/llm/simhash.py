@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import golay
-from tidemark.llm._common import map_rows, schema_of, text_rows
+from tidemark.llm._common import SLICE, map_rows, schema_of, text_rows
 from tidemark.llm.components import components
 from tidemark.session import materialize, ship
 
@@ -172,29 +172,13 @@ BANDS, ROWS = 32, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 #: Pairs left a document below which all are compared at once; documents that one is met with under a key in a round.
 LEFT, NEXT = 8, 3
-#: Bins of the shingle sketch, 2 bytes each.
-BINS = 512
 
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """The least shingle hash of each of BINS bins, 16 bits of it; zero for a bin without any."""
-    out = np.zeros(BINS, np.uint16)
-    if len(hashes):
-        ordered = np.sort(hashes)
-        bins = (ordered >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-        out[bins[first]] = (ordered[first] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
-    return out.tobytes()
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of the shingle sets behind each pair of sketches (rows).
-
-    The share of equal bins among those that either fills: an estimate with a standard deviation of at most 0.02, and
-    next to exact for texts with fewer shingles than bins.
-    """
-    either = ((a | b) != 0).sum(axis=1)
-    return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(1, either)
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingle hashes (ascending, distinct) have a Jaccard similarity of least or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -213,20 +197,18 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, words (16 bytes that stand for the sequence of words), f (band keys of the shingles), sketch."""
+    """doc_id, words (16 bytes that stand for the sequence of words), f (band keys of the shingles)."""
     rows = text_rows(docs, id_col, text_col)
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": c["doc_id"], "words": [], "f": [], "sketch": []}
+        out: dict[str, list] = {"doc_id": c["doc_id"], "words": [], "f": []}
         for text in c["text"]:
             words = words_of(text)
-            hashes = shingle_hashes(words, shingle)
             out["words"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-            out["f"].append(band_keys(hashes))
-            out["sketch"].append(sketch(hashes))
+            out["f"].append(band_keys(shingle_hashes(words, shingle)))
         return out
 
-    return map_rows(rows, run, schema_of(rows, ["doc_id"], "words binary, f array<long>, sketch binary"))
+    return map_rows(rows, run, schema_of(rows, ["doc_id"], "words binary, f array<long>"))
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -248,8 +230,8 @@ def _met(nodes: DataFrame) -> DataFrame:
     return _ends(_shared(nodes))
 
 
-def _classes(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, root, as components() gives them, of all pairs that share a key and that alike keeps (it gets and returns a, b).
+def _classes(shared: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root, as components() gives them, of all pairs that share a key and that verified() keeps (it gets and returns a, b).
 
     The first round compares _ends(). What is left then are pairs under a key whose documents are of several classes; those
     of one class need no comparison. While there are more than LEFT of them a document, each document is met with its next
@@ -257,7 +239,7 @@ def _classes(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> Data
     So no pair goes uncompared but within a class, and a hot group of near copies is one class before its pairs count.
     """
     compared = materialize(_ends(shared), "pairs")
-    linked = components(alike(compared))
+    linked = components(verified(compared))
     nodes, turn, found = None, 0, True
     while True:
         rooted = shared.select("key", "id").join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -280,7 +262,7 @@ def _classes(shared: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> Data
             meet = meet.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b"))
         known = compared.select(F.col("a").alias("x"), F.col("b").alias("y"))
         new = materialize(meet.select("a", "b").distinct().join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "pairs")
-        links = materialize(alike(new), "links")
+        links = materialize(verified(new), "links")
         found, turn = bool(links.count()), turn + 1
         if found:
             linked = components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(links))
@@ -294,28 +276,30 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
 
     Similarity is that of the sets of shingles of `shingle` words (all words, if fewer). Texts with the same words in the
     same order, A-Z in lower case, are one; those without words too. Candidates share a band key of their shingles; then
-    their shingle sketches are compared. Rows of a null id are left out.
+    their whole sets are compared. Rows of a null id are left out.
     """
     described = materialize(_described(docs.where(F.col(id_col).isNotNull()), shingle, id_col, text_col), "described")
     nodes = materialize(described.groupBy("words").agg(F.min("doc_id").cast("long").alias("id"), F.min("f").alias("f")), "nodes")
     shared = materialize(_shared(nodes), "shared")
-    named = described.select(F.col("doc_id").alias("id"), "words", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    named = materialize(named.select("id", "sketch"), "sketches")
-    side = lambda c: named.select(F.col("id").alias(f"{c}_id"), F.col("sketch").alias(f"{c}_s"))
+    texts = text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = materialize(texts.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    side = lambda c: texts.select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x, y = (np.frombuffer(b"".join(part.column(n).to_pylist()), np.uint16).reshape(-1, BINS) for n in (2, 3))
-                keep = pa.array(similarity(x, y) >= least)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
-
-    def alike(pairs: DataFrame) -> DataFrame:
+            for at in range(0, batch.num_rows, SLICE):
+                part, sets = batch.slice(at, SLICE), {}
+                rows = list(zip(*[part.column(n).to_pylist() for n in range(4)]))
+                for id_, text in {r[n]: r[n + 2] for r in rows for n in (0, 1)}.items():
+                    sets[id_] = np.unique(shingle_hashes(words_of(text), shingle))
+                kept = [r[:2] for r in rows if alike(sets[r[0]], sets[r[1]], least)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in kept], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-        return met.select("a", "b", "a_s", "b_s").mapInArrow(run, "a long, b long")
+        return met.select("a", "b", "a_t", "b_t").mapInArrow(run, "a long, b long")
 
-    linked = _classes(shared, alike)
+    linked = _classes(shared, verified)
     named = nodes.join(linked, F.col("id") == F.col("node"), "left").select(F.col("words").alias("w"), F.coalesce("root", "id").alias("component_id"))
     named = materialize(named, "classes")
     return described.select("doc_id", "words").join(named, F.col("words") == F.col("w")).select("doc_id", "component_id")
