@@ -138,13 +138,13 @@ def gumbel(bins: dict[float, int], words: int) -> tuple[float, float]:
     return rate, math.log(max(1, total) / max(1, words)) + rate * low
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
-    """Intercept and two slopes, by Newton's method with a ridge on the slopes."""
-    design, w = np.c_[np.ones(len(x)), x], np.zeros(3)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weights: np.ndarray | float = 1.0) -> tuple[float, float, float]:
+    """Intercept and two slopes, by Newton's method with a ridge on the slopes. weights: how many documents each row stands for."""
+    design, w, many = np.c_[np.ones(len(x)), x], np.zeros(3), np.broadcast_to(weights, len(x))
     penalty = np.diag([1e-6, ridge, ridge])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + penalty, design.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(design.T @ (design * (many * p * (1 - p))[:, None]) + penalty, design.T @ (many * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -154,10 +154,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the documents of labels (rows with a null id or label are left out; of several labels of an id the highest counts).
 
-    At most SAMPLE labelled documents are used. Without both classes nothing scores as toxic.
+    At most SAMPLE labelled documents are used; in the logistic fit each stands for as many of its class as the sample
+    leaves out, so the scores have the class mix of all labels. Without both classes nothing scores as toxic.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     sample = marked.where("toxic = 1").orderBy(F.xxhash64("id"), "id").limit(SAMPLE // 2).unionByName(marked.where("toxic = 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE // 2))
+    stands_for = {r.toxic: max(1.0, r.n / (SAMPLE // 2)) for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     rows = text_rows(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("toxic", "text")
 
     def count(c: dict[str, list]) -> dict[str, list]:
@@ -205,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"toxic": c["toxic"], "x": [x for x, _ in found], "y": [y for _, y in found]}
 
     fit = map_rows(rows, second, schema_of(rows, ["toxic"], "x double, y double")).toPandas().sort_values(["toxic", "x", "y"])
-    model.logistic = logistic(fit[["x", "y"]].to_numpy(), fit.toxic.to_numpy())
+    model.logistic = logistic(fit[["x", "y"]].to_numpy(), fit.toxic.to_numpy(), weights=fit.toxic.map(stands_for).to_numpy(float))
     model.memo = {}
     return model
 
