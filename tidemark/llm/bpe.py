@@ -4,10 +4,9 @@ Encoding. A prefix of a stream has exactly one BPE encoding, and every prefix of
 bytes that it covers. So one number for each stream position is state enough: the last token of the encoding of the
 prefix that ends there. It is the only vocabulary token t ending there that may stand after the last token of the prefix
 before t; two tokens may stand side by side iff the merge list, applied to their joint bytes, leaves the seam uncut by
-any merge. Every later encoding runs through one of the last max_token positions, so a token is final ("stable") as soon
-as the back-pointer chains of all these positions meet at or after its end. Merges can reach back only through a chain
-of overlapping rules of falling rank, which bounds the delay: lookahead() computes that bound from the merge list.
-Memory is the window of positions after the meeting point, whatever the length of the stream.
+any merge. Merges can reach back only through a chain of overlapping rules of rising rank; lookahead() computes from the
+merge list how many bytes such a chain spans at most. A token is final ("stable") and is emitted once as many bytes
+follow it. Memory is the window of these bytes, whatever the length of the stream.
 
 Decoding. Token bytes go through an incremental UTF-8 automaton; invalid sequences become U+FFFD as they are found.
 """
@@ -69,6 +68,7 @@ class Vocabulary:
             self.rank[pair] = n
             self.parts[model["vocab"][a + b]] = (n, *pair)
         self.longest = max(map(len, self.ids))
+        self.stable = self.lookahead()
         self._automaton()
         self.right = {i: self._spine(i, 2) for i in self.ids.values()}
         self.left = {i: self._spine(i, 1) for i in self.ids.values()}
@@ -195,7 +195,7 @@ class Word:
         out = []
         for at in range(0, len(data), self.v.longest):
             self._step(data[at : at + self.v.longest])
-            if len(self.tail) >= 4 * self.v.longest:
+            if len(self.tail) >= self.v.stable + 4 * self.v.longest:
                 out += self._settle()
         return out
 
@@ -217,20 +217,16 @@ class Word:
         self.state = state
 
     def _settle(self) -> list[int]:
-        """Emit what all chains from the last `longest` positions share, and forget these bytes."""
-        v, n = self.v, len(self.tail)
-        chains = range(n - v.longest + 1, n + 1)
-        low = set(chains)
-        while len(low) > 1:  # the furthest end steps back until one position is left
-            top = max(low)
-            low.remove(top)
-            low.add(top - len(v.bytes_of[self.last[top]]))
-        meeting = low.pop()
-        if meeting <= 0:
+        """Emit the tokens that `stable` bytes follow, and forget their bytes."""
+        v, end = self.v, len(self.tail)
+        limit = end - v.stable
+        while end > limit:
+            end -= len(v.bytes_of[self.last[end]])
+        if end <= 0:
             return []
-        out = self._chain(meeting)
+        out = self._chain(end)
         # What follows must know its predecessor: the last stable token stays as the window's first.
-        keep = meeting - len(v.bytes_of[out[-1]])
+        keep = end - len(v.bytes_of[out[-1]])
         held = out.pop()
         self.tail, self.last = self.tail[keep:], self.last[keep:]
         assert self.last[len(v.bytes_of[held])] == held
