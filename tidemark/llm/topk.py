@@ -87,6 +87,8 @@ def _pass(candidates: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], k:
                         new = own
                     new, scores = best(new, scores, k)
                     kept[n] = best(np.concatenate([kept[n][0], new]), np.concatenate([kept[n][1], scores]), k)
+        if not kept:
+            return
         size = [len(i) for i, _ in kept]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.concatenate([i for i, _ in kept])), pa.array(np.concatenate([s for _, s in kept]))], ["query_id", "vec_id", "score"])
 
@@ -103,7 +105,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), queries.alias("asks")).where("id is not null and vector is not null")
-    asking = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
+    rows = materialize(rows, "vectors")  # read once a pass
+    asking = materialize(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")), "asking")
     passes = max(1, -(-asking.count() // QUERY_BLOCK))
     parts = []
     for p in range(passes):
