@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,19 +29,26 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; a local one of our own where that is unset and the session has one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share: {context.master} has more than one")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return (found or context.getCheckpointDir()).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage."""
+    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
+
+    The table goes with the application, if drop_table() hasn't removed it before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
