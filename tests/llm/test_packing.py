@@ -39,7 +39,7 @@ def test_every_id_lies_in_one_piece_and_windows_hold(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as start", "2 as sequence_id")
     windows = packing.cut_windows(docs.where("doc_id <> 7 or doc_id is null"), PATH, 128)
-    out = packing.pack(windows, 67, 128, group=20).collect()
+    out = packing.pack(windows, 128, group=20).collect()
     of = {}
     for r in out:
         of.setdefault(r.doc_id, []).append(r)
@@ -53,9 +53,38 @@ def test_every_id_lies_in_one_piece_and_windows_hold(spark):
     sequences = {}
     for r in out:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(s == [(0, 128)] for k, s in sequences.items() if k >= packing.FULL)
     for s in sequences.values():
         s.sort()
         assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 128
-    assert packing.pack(packing.cut_windows(docs.limit(0), PATH), 0).count() == 0
-    twice = packing.pack(packing.cut_windows(docs.where("doc_id = 7"), PATH, 128), 2, 128).collect()
+    assert packing.pack(packing.cut_windows(docs.limit(0), PATH)).count() == 0
+    twice = packing.pack(packing.cut_windows(docs.where("doc_id = 7"), PATH, 128), 128).collect()
     assert len(twice) == 2 * len({r.start for r in twice})
+
+
+def test_null_and_repeated_ids_are_dealt_to_all_groups(spark):
+    rows = [(None, 0, 50)] * 1000 + [(7, 0, 60)] * 1000 + [(i, 0, 128) for i in range(200)]
+    windows = spark.createDataFrame(rows, "doc_id long, start long, length long")
+    out = packing.pack(windows, 128, group=100).collect()
+    sizes = {}
+    for r in out:
+        if r.length < 128:
+            sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert len(out) == 2200 and len(sizes) == 20 and max(sizes.values()) < 200
+    assert len({r.sequence_id for r in out if r.length == 128}) == 200
+
+
+def test_very_long_texts_of_one_kind(spark):
+    library, n = Tokenizer.from_file(PATH), 300_000
+    from tidemark.llm.tokens import encoder
+
+    for part, end in ((" ", ""), (" ", "x"), ("\n", "x y"), ("\n", ""), (" \n\t", "é"), ("a", ""), ("-", " "), ("\u3000", "b"), ("\x1c", "")):
+        text = "begin" + part * n + end + part * 20_000 + "done"
+        assert encoder(PATH).one(text).tolist() == library.encode(text, add_special_tokens=False).ids, part
+    for part in (" ", "\n", "a", "-"):
+        text = part * 5_000_000
+        ids = encoder(PATH).one(text)
+        assert library.decode(ids.tolist(), skip_special_tokens=False) == text
+    docs = spark.createDataFrame([(1, " " * 2_000_000), (2, "\n" * 2_000_000 + "x")], "doc_id long, text string")
+    out = packing.pack(packing.cut_windows(docs, PATH))
+    assert {r.doc_id: r.n for r in out.groupBy("doc_id").sum("length").toDF("doc_id", "n").collect()} == {1: 2_000_001, 2: len(encoder(PATH).one("\n" * 2_000_000 + "x")) + 1}

@@ -4,10 +4,10 @@ Documents above the capacity are first cut into full windows, which need no sear
 longest first, into the open window with the least room that still holds it; a segment tree over the room left, with
 the number of open windows at each leaf, finds it in log2(capacity) steps.
 
-The search runs in groups of about GROUP documents, dealt out by a hash of the document: a group is packed by one task,
-groups are packed independently, and their number grows with the input. The tree has as many leaves as a window has
-tokens, so memory is that of the group's rows. The last, less full windows of a group are the price: about one in
-thousands.
+The search runs in groups of about GROUP pieces, dealt out evenly: a group is packed by one task, groups are packed
+independently, and their number grows with that of the pieces. Full windows take no part in it and aren't shuffled. The
+tree has as many leaves as a window has tokens, so memory is that of the group's rows. The last, less full windows of a
+group are the price: about one in thousands.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark.sql import types as T
 
 from tidemark.llm._common import map_rows, schema_of, text_rows
 from tidemark.llm.tokens import encoder
-from tidemark.session import ship
+from tidemark.session import materialize, ship
 
-#: Documents that one task packs together.
+#: Pieces that one task packs together.
 GROUP = 4096
+#: Numbers of the sequences of full windows begin here.
+FULL = 1 << 62
 
 
 class RoomTree:
@@ -97,17 +99,20 @@ def cut_windows(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
     return map_rows(rows, run, schema_of(rows, ["doc_id"], "start long, length long, ids binary, doc_tokens long"))
 
 
-def pack(windows: DataFrame, documents: int, capacity: int = 1024, group: int = GROUP) -> DataFrame:
+def pack(windows: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFrame:
     """windows with sequence_id and offset (columns doc_id, start, length are needed; the others are carried along).
 
-    documents is about the number of documents, from which the number of groups follows. Equal rows are packed each;
-    ties go by doc_id (nulls first) and start, so that a repeated run gives the same result.
+    The pieces are written once, so that they can be counted and keep their order if a task is run again. They are dealt
+    to groups by their place in that table, so null or repeated ids don't gather in one; equal rows are packed each. Within
+    a group ties go by doc_id (nulls last) and start. Which pieces share a sequence may differ from one run to the next.
     """
     ship(windows.sparkSession)
-    rows = windows.drop("sequence_id", "offset", "pack_group")
-    groups = max(1, -(-documents // group))
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "pack_group"] + T._parse_datatype_string("sequence_id long, offset long").fields)
+    rows = materialize(windows.drop("sequence_id", "offset", "pack_group"), "pieces")
+    schema = T.StructType(rows.schema.fields + T._parse_datatype_string("sequence_id long, offset long").fields)
+    place, short = F.monotonically_increasing_id(), F.col("length") < capacity
+    full = rows.withColumn("sequence_id", place + F.lit(FULL)).withColumn("offset", F.lit(0).cast("long")).where(~short)
+    groups = max(1, -(-rows.where(short).count() // group))
+    rest = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", place), F.lit(groups))).where(short)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns(["pack_group"])
@@ -117,4 +122,4 @@ def pack(windows: DataFrame, documents: int, capacity: int = 1024, group: int =
         ids = np.array(window, np.int64) + (key[0].as_py() << 32)
         return rows.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64()))
 
-    return rows.groupBy("pack_group").applyInArrow(run, schema)
+    return rest.groupBy("pack_group").applyInArrow(run, schema).unionByName(full)

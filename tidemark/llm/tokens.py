@@ -12,6 +12,7 @@ import re
 from array import array
 
 import numpy as np
+import regex
 import tiktoken
 
 from tidemark.llm.bpe import PATTERN, Vocabulary
@@ -28,6 +29,11 @@ def _by_rank(path: str) -> Vocabulary | None:
     return v if made == sorted(made) else None
 
 
+#: Runs of white space that the core's pattern search would follow too deep; each is one pre-token, but that its last
+#: character may belong to the next one.
+LONG_SPACE = regex.compile(r"\p{White_Space}{10000,}+")
+
+
 class Encoder:
     """Ids and character spans by one vocabulary file."""
 
@@ -46,9 +52,20 @@ class Encoder:
         """Ids of a text, special tokens' strings as these tokens."""
         out = array("I")
         for n, part in enumerate(self.cut.split(text) if self.special and any(s in text for s in self.special) else [text]):
-            out.extend([self.special[part]] if n % 2 else self.core.encode_ordinary(part))
+            out.extend([self.special[part]] if n % 2 else self._plain(part))
         return out
 
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        if len(text) < 10_000:
+            return self.core.encode_ordinary(text)
+        out, at = [], 0
+        for m in LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self.core.encode_ordinary(text[at : m.start()]) + self.core._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.core.encode_ordinary(text[at:])
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return [self.one(t).tobytes() for t in texts]
