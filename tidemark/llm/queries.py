@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, imatch, line_dedup, packing, secrets, sharding, simhash, token_counts, topk, toxicity
 from tidemark.llm._common import table
+from tidemark.session import shared_dir
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,7 +26,8 @@ LINES = {"ratio": 0.1, "min_pages": 5}
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets.findings(docs, secrets.scan_unseen(docs))
+    ledger = secrets.update(docs, f"{shared_dir(spark)}/tidemark-ledger-{uuid.uuid4().hex}")
+    found = secrets.findings(docs, ledger)
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
     counts = [secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
@@ -48,7 +51,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     windows = packing.cut_windows(docs, vocabulary()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(windows, docs.count())
+    return packing.pack(windows)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
