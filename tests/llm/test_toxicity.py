@@ -1,6 +1,8 @@
 """Segments against all segments, the fit on planted words, and odd rows."""
 
+import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -33,6 +35,40 @@ def test_segments_by_definition():
         assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
 
 
+def test_the_search_takes_linear_time():
+    def seconds(n):
+        began = time.perf_counter()
+        assert len(toxicity.segments(np.tile([1.0, -2.0], n))) == n
+        return time.perf_counter() - began
+
+    seconds(20_000)
+    assert min(seconds(320_000) for _ in range(3)) < 4 * min(seconds(160_000) for _ in range(3))
+    falling = np.ravel([[3.0 - i / 40_000, -1.0] for i in range(100_000)])
+    assert toxicity.segments(falling) and seconds(200_000) < 10
+
+
+def test_scores_by_definition():
+    rnd = random.Random(4)
+    model = toxicity.Model({"=bad": 2.5, "^wor": 1.5, "$ile": 3.0}, rate=0.9, place=-1.2, logistic=(-3.0, 0.6, 0.4))
+    of = {"bad": 2.5, "Bad!": 2.5, "worst": 1.5, "vile": 3.0, "ile": -0.1, "wor": -0.1, "fine": -0.1, "12": -0.1}
+    for _ in range(300):
+        words = [rnd.choice(list(of)) for _ in range(rnd.randint(0, 14))]
+        seen, scores = {}, []
+        for w in words:
+            seen[w] = seen.get(w, 0) + 1
+            scores.append(of[w] / seen[w] if of[w] > 0 else of[w])
+        evidence = [0.9 * s - (-1.2 + math.log(max(1, len(words)))) for *_, s in plain(np.array(scores))]
+        evidence = [e for e in evidence if e > 0]
+        want = 1 / (1 + math.exp(3 - 0.6 * max(evidence, default=0) - 0.4 * math.log1p(sum(evidence))))
+        assert abs(model.score(model.passages(" ".join(words))) - want) < 1e-4
+
+
+def test_a_long_toxic_text(spark):
+    model = toxicity.Model({"=bad": 3.0}, place=-15.0, logistic=(-3.0, 1.0, 0.0))
+    docs = spark.createDataFrame([(1, "bad x y z " * 50_000), (2, "x y z " * 50_000)], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()} == {1: 1, 2: 0}
+
+
 def corpus(n, seed):
     rnd, bad = random.Random(seed), ["vilest", "vilely", "vileish", "scoundrel", "wretch"]
     rows = []

@@ -6,7 +6,8 @@ prior is its share of the joint counts, PRIOR tokens in all), less Z standard de
 feature; words without evidence of LEAST or more score NEUTRAL, below zero.
 
 Scoring reads a text once and finds all maximal-scoring segments in linear time (each such segment outscores all that
-contain it or that it contains). By extreme-value theory the best segment of n clean words follows a Gumbel law, so a
+contain it or that it contains). The k-th occurrence of a scoring word in a text counts 1 / k of its log-odds, since
+repeats of one word aren't independent evidence. By extreme-value theory the best segment of n clean words follows a Gumbel law, so a
 segment of score S has E = K n exp(-lambda S) equals by chance; lambda and K are fitted on the clean training documents.
 A segment is significant if E < 1. The best segment's -ln E and the sum over the significant ones are put on a scale of
 0 to 1 by a logistic fit on the training documents.
@@ -29,8 +30,6 @@ from tidemark.session import ship
 
 #: Labelled documents that the model is fitted on, at most; chosen by a hash of the id, half of each class if there are enough.
 SAMPLE = 20_000
-#: Features with evidence that the model holds, at most (the strongest).
-FEATURES = 50_000
 PRIOR, Z, LEAST, NEUTRAL = 20_000.0, 2.0, 1.0, -0.1
 #: Lengths of the word parts that are features beside the word.
 PARTS = range(3, 7)
@@ -55,7 +54,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments as (start, end exclusive, score), in order; linear in the number of words.
 
     Runs of words that don't score above zero are one step. Each new run of positive words is joined to earlier
-    segments as long as that makes a larger sum than either side has.
+    segments as long as that makes a larger sum than either side has. The one to join is the last whose sum before is
+    less; chain has those that can still be it, with rising sums before, so each is passed over once.
     """
     up = np.flatnonzero(scores > 0)
     if not len(up):
@@ -64,15 +64,17 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     starts, ends = up[np.r_[0, cut]], up[np.r_[cut - 1, len(up) - 1]] + 1
     sums = np.r_[0.0, np.cumsum(scores, dtype=float)]
     found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
+    chain: list[int] = []
     for a, b in zip(starts.tolist(), ends.tolist()):
         left, right = sums[a], sums[b]
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
+            while chain and found[chain[-1]][2] >= left:
+                chain.pop()
+            if not chain or found[chain[-1]][3] >= right:
+                chain.append(len(found))
                 found.append((a, b, left, right))
                 break
+            j = chain.pop()
             a, left = found[j][0], found[j][2]
             del found[j:]
     return [(a, b, right - left) for a, b, left, right in found]
@@ -80,7 +82,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """What training leaves; its size is bounded by FEATURES."""
+    """What training leaves; its weights are of words of the bounded sample."""
 
     weights: dict[str, float]
     rate: float = 1.0
@@ -109,18 +111,23 @@ class Model:
         shift = self.place + math.log(max(1, len(words)))
         return len(words), [(a, b, self.rate * s - shift) for a, b, s in segments(scores)]
 
-    def inputs(self, text: str) -> tuple[float, float]:
-        """-ln E of the best segment (0 if it isn't significant), and the logarithm of the sum over the significant ones."""
-        found = self.found(text)[1]
-        likely = [e for *_, e in found if e > 0]
-        return max(likely, default=0.0), math.log1p(sum(likely))
+    def passages(self, text: str) -> list[tuple[int, int, float]]:
+        """The significant ones among them."""
+        return [p for p in self.found(text)[1] if p[2] > 0]
 
-    def score(self, text: str) -> float:
+    def score(self, passages: list[tuple[int, int, float]]) -> float:
+        """0 to 1, of a text's passages."""
         a, b, c = self.logistic
-        x, y = self.inputs(text)
+        x, y = inputs(passages)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y))))
 
 
+def inputs(passages: list[tuple[int, int, float]]) -> tuple[float, float]:
+    """-ln E of the best passage (0 if there is none), and the logarithm of the sum over all."""
+    likely = [e for *_, e in passages]
+    return max(likely, default=0.0), math.log1p(sum(likely))
+
+
 def gumbel(bins: dict[float, int], words: int) -> tuple[float, float]:
     """(lambda, ln K): segments of clean text with a score of S or more come at a rate of K exp(-lambda S) a word.
 
@@ -175,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts += [F.when(F.length("word") > k, F.concat(F.lit("^"), F.left("word", F.lit(k)))) for k in PARTS]
     parts += [F.when(F.length("word") > k, F.concat(F.lit("$"), F.right("word", F.lit(k)))) for k in PARTS]
     every = both.select(F.explode(F.array(*parts)).alias("f"), "n1", "n0").where("f is not null").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # Counts of a bounded sample, and of them the features that are commoner among toxic documents; the strongest are kept.
+    # Counts of a bounded sample, and of them the features that are commoner among toxic documents.
     totals = every.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
     n1, n0 = float(totals.n1 or 0), float(totals.n0 or 0)
     if not n1 or not n0:
@@ -183,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a = F.lit(PRIOR / (n1 + n0)) * (F.col("n1") + F.col("n0"))
     ratio = F.log((F.col("n1") + a) / (F.lit(n1 + PRIOR) - F.col("n1") - a)) - F.log((F.col("n0") + a) / (F.lit(n0 + PRIOR) - F.col("n0") - a))
     ratio = ratio - F.lit(Z) * F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    strong = every.where("n1 > 0").select("f", ratio.alias("w")).where(F.col("w") >= LEAST).orderBy(F.desc("w"), "f").limit(FEATURES)
+    strong = every.where("n1 > 0").select("f", ratio.alias("w")).where(F.col("w") >= LEAST)
     model = Model({r.f: r.w for r in strong.collect()})
 
     def first(c: dict[str, list]) -> dict[str, list]:
@@ -203,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.rate, model.place = gumbel(bins, clean_words)
 
     def second(c: dict[str, list]) -> dict[str, list]:
-        found = [model.inputs(t) for t in c["text"]]
+        found = [inputs(model.passages(t)) for t in c["text"]]
         return {"toxic": c["toxic"], "x": [x for x, _ in found], "y": [y for _, y in found]}
 
     fit = map_rows(rows, second, schema_of(rows, ["toxic"], "x double, y double")).toPandas().sort_values(["toxic", "x", "y"])
@@ -220,8 +227,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = text_rows(docs, id_col, text_col)
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        scores = [model.score(t) for t in c["text"]]
-        passages = [[{"start": a, "end": b, "evidence": e} for a, b, e in model.found(t)[1] if e > 0] for t in c["text"]]
+        found = [model.passages(t) for t in c["text"]]
+        scores = [model.score(p) for p in found]
+        passages = [[{"start": a, "end": b, "evidence": e} for a, b, e in p] for p in found]
         return {"doc_id": c["doc_id"], "score": scores, "predicted": [int(s >= 0.5) for s in scores], "passages": passages}
 
     return map_rows(rows, run, schema_of(rows, ["doc_id"], "score double, predicted int, passages array<struct<start:int,end:int,evidence:double>>"))
@@ -241,6 +249,6 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                yield part.filter(pa.array([model.score(t or "") < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([model.score(model.passages(t or "")) < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
