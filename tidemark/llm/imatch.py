@@ -1,75 +1,64 @@
 """I-Match document fingerprints over randomised lexicon subsets, in DataFrame functions alone.
 
-The lexicon holds terms whose inverse document frequency lies in a band. It is a table of SLOTS places, a term's place
-being its hash; of the terms of one place the commonest stays, so its size is bounded (8 bytes a place) whatever the
-vocabulary. It is a literal of the query, and a term is looked up at its place, without a join.
-
-A text's distinct lexicon terms, sorted, are hashed once for each of LEVELS * PARTS random subsets of the lexicon: level
-l keeps a share of 2 ** -l of it, in PARTS parts, so that texts of any length have subsets with a few of their terms;
-only subsets with 1 to MOST_TERMS of them give a hash. Likeness of two fingerprints is the share of equal hashes among
-the subsets that either text has one for.
+The lexicon holds all terms that at least LEAST_SHARE and at most MOST_SHARE of the documents hold, and two at least: a
+band of inverse document frequency. All documents together have no more terms than words, so the lexicon has at most
+(mean number of distinct terms of a document) / LEAST_SHARE terms, whatever the size of the corpus. It is a literal of the
+query: a table of places, each with the terms whose hash belongs there, so that a term is looked up without a join.
+
+A text's distinct lexicon terms, sorted, are hashed once for each of LEVELS * PARTS random subsets of the lexicon, whole:
+level l keeps a share of 2 ** -l of it, in PARTS parts. Texts of different length need subsets of different size: a large
+one differs after the least edit, a small one has no term of a short text.
+
+Likeness of two fingerprints is the share of equal hashes among the subsets that either text has terms of, on the levels
+that are fine enough to tell: those on which not every subset has terms of both texts, and above them none if there are
+such levels.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
-
-SLOTS = 1 << 15
 LEVELS, PARTS = 12, 8
-#: A subset with more of a text's terms gives no hash: it would differ after the least edit, and a deeper level has fewer.
-MOST_TERMS = 3
-#: Documents of one range of ids, and ranges that one task puts in order.
-RANGE, RANGES = 4096, 4096
-#: First documents of ranges: up to so many ids (16 bytes each) go to every task.
-BROADCAST_RANGES = 500_000
+#: Bits of a term's hash that say which levels keep it begin here.
+DEPTH = 15
+#: Shares of the documents between which the lexicon's terms lie: idf from ln 10 to ln 1000.
+LEAST_SHARE, MOST_SHARE = 0.001, 0.1
+#: Documents of one range of ids, about; ranges that the search for a document's range leaves to its second step.
+RANGE, STEP = 4096, 128
 
 
 def terms_of(text: Column) -> Column:
     """Distinct hashes of the text's words (runs of letters and digits, in lower case), sorted; a null text has none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def slot(term: Column) -> Column:
-    return F.pmod(term, F.lit(SLOTS))
-
-
-def bytes_of(term: Column) -> Column:
-    """The eight bytes of a long."""
-    return F.unhex(F.lpad(F.hex(term), 16, "0"))
-
-
-def lexicon(docs: DataFrame, text_col: str = "text", least_docs: int = 2, most_share: float = 0.1) -> bytes:
-    """Eight bytes for each place: a term that at least least_docs and at most most_share of all documents hold, or zeros.
-
-    In terms of idf = ln(documents / df) the band is [ln(1 / most_share), ln(documents / least_docs)].
-    """
+def lexicon(docs: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> list[list[int]]:
+    """The terms (hashes) of the band, each in the list of its place; the places are a power of two, at least as many as terms."""
     texts = docs.select(F.col(text_col).alias("text"))
+    every, least = texts.count(), F.lit(2)
     counted = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = counted.where((F.col("df") >= least_docs) & (F.col("df") <= F.lit(texts.count() * most_share)))
-    placed = band.groupBy(slot(F.col("term")).alias("slot")).agg(F.max_by("term", F.struct("df", "term")).alias("term"))
-    table = bytearray(8 * SLOTS)
-    for r in placed.collect():  # SLOTS rows at most
-        table[8 * r.slot : 8 * r.slot + 8] = r.term.to_bytes(8, "big", signed=True)
-    return bytes(table)
+    band = counted.where((F.col("df") >= F.greatest(least, F.lit(every * least_share))) & (F.col("df") <= F.lit(every * most_share)))
+    terms = sorted(r.term for r in band.select("term").collect())  # bounded, see above
+    places = [[] for _ in range(1 << max(0, len(terms) - 1).bit_length())]
+    for t in terms:
+        places[t & len(places) - 1].append(t)
+    return places
 
 
-def with_hashes(df: DataFrame, lexicon_terms: bytes, text_col: str, out: str) -> DataFrame:
-    """df and an array column out: a hash for each subset of the lexicon, null where the text has none or too many of its terms.
+def with_hashes(df: DataFrame, lexicon_terms: list[list[int]], text_col: str, out: str) -> DataFrame:
+    """df and an array column out: a hash for each subset of the lexicon, null where the text has none of its terms.
 
-    A text without any term of the lexicon is fingerprinted by all its terms. Bits of a term above those that its place
-    takes say which levels keep it, and its part on each.
+    A text without any term of the lexicon is fingerprinted by all its terms. Bits of a term's hash that its place doesn't
+    take say which levels keep it, and its part on each.
     """
-    places, tmp = F.lit(bytearray(lexicon_terms)), f"_{out}_terms"
-
-    def known(t: Column) -> Column:
-        return F.substring(places, (slot(t) * 8 + 1).cast("int"), F.lit(8)) == bytes_of(t)
-
+    table = F.from_json(F.lit(json.dumps(lexicon_terms)), F.lit("array<array<bigint>>"))  # folded into a literal
+    places, tmp = F.lit(len(lexicon_terms) - 1).cast("long"), f"_{out}_terms"
     df = df.withColumn(tmp, terms_of(F.col(text_col)))
-    df = df.withColumn(out, F.filter(tmp, known))
+    df = df.withColumn(out, F.filter(tmp, lambda t: F.array_contains(F.get(table, t.bitwiseAND(places).cast("int")), t)))
     df = df.withColumn(tmp, F.when(F.size(out) > 0, F.col(out)).otherwise(F.col(tmp)))
     names = [f"_{out}_{n}" for n in range(LEVELS)]
     for n, name in enumerate(names):  # each level is a part of the one before
@@ -79,13 +68,13 @@ def with_hashes(df: DataFrame, lexicon_terms: bytes, text_col: str, out: str) ->
 
 
 def _kept(n: int):
-    return lambda t: F.shiftright(t, 15 + n).bitwiseAND(F.lit(1)) == 0
+    return lambda t: F.shiftright(t, DEPTH + n).bitwiseAND(F.lit(1)) == 0
 
 
 def _part(level: Column, n: int):
     def of(k: Column) -> Column:
-        own = F.filter(level, lambda t: F.pmod(F.shiftright(t, 27 + 3 * n), F.lit(PARTS)) == k)
-        return F.when(F.size(own).between(1, MOST_TERMS), F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)))
+        own = F.filter(level, lambda t: F.shiftright(t, 27 + 3 * n).bitwiseAND(F.lit(PARTS - 1)) == k)
+        return F.when(F.size(own) > 0, F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     return of
 
@@ -95,62 +84,81 @@ def fingerprint_of(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda h: F.lower(F.lpad(F.hex(F.coalesce(h, F.lit(0))), 8, "0"))), "")
 
 
+def _counts(a: Column, b: Column, level: int) -> tuple[Column, Column, Column]:
+    """Of one level's subsets: how many hashes are equal, how many subsets have terms of either text, and of both."""
+    x, y = (F.slice(c, level * PARTS + 1, PARTS) for c in (a, b))
+    equal = F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: F.coalesce(e, F.lit(False))))
+    filled, other = (F.size(F.array_compact(c)) for c in (x, y))
+    both = F.size(F.array_compact(F.zip_with(x, y, lambda p, q: p + q)))
+    return equal, filled + other - both, both
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that either has; 1 if neither has any."""
-    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: F.coalesce(e, F.lit(False))))
-    either = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x, y)), lambda e: e.isNotNull()))
+    """Share of equal hashes among the subsets that either has, on the fine levels (see above); 1 if neither has any."""
+    levels = F.array(*[F.struct(e.alias("equal"), n.alias("either"), both.alias("both")) for e, n, both in (_counts(a, b, k) for k in range(LEVELS))])
+    fine = F.filter(levels, lambda s: (s["both"] < PARTS) & (s["either"] > 0))
+    used = F.when(F.size(fine) > 0, fine).otherwise(levels)
+    equal = F.aggregate(used, F.lit(0), lambda acc, s: acc + s["equal"])
+    either = F.aggregate(used, F.lit(0), lambda acc, s: acc + s["either"])
     return F.when(either == 0, 1.0).otherwise(equal / either)
 
 
-def _next_first(firsts: DataFrame) -> DataFrame:
-    """range, first, after: the first id of the range after each (of the least range after the last), from range and first.
-
-    Ranges are put in order RANGES at a time, then the groups of ranges; only the latter, one of RANGE * RANGES ids each,
-    meet in one task.
-    """
-    grouped = firsts.withColumn("group", F.floor(F.col("range") / RANGES))
-    own = grouped.withColumn("own", F.lead("first").over(Window.partitionBy("group").orderBy("range")))
-    heads = grouped.groupBy("group").agg(F.min("first").alias("head"))
-    order = Window.partitionBy(F.lit(0)).orderBy("group")
-    later = heads.select(F.col("group").alias("g"), F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("later"))
-    return own.join(F.broadcast(later), F.col("group") == F.col("g")).select("range", "first", F.coalesce("own", "later").alias("after"))
+def cuts_of(rows: DataFrame) -> list[tuple[int | None, int]]:
+    """The first (id, order) of each range of about RANGE rows but for the lowest, ascending; rows has id and order."""
+    slim = rows.select("id", "order")
+    ranges = max(1, -(-slim.count() // RANGE))
+    firsts = slim.repartitionByRange(ranges, F.col("id").asc_nulls_first(), "order").select(F.struct("id", "order").alias("key"), F.spark_partition_id().alias("part"))
+    found = sorted((r.first.id is not None, r.first.id or 0, r.first.order) for r in firsts.groupBy("part").agg(F.min("key").alias("first")).collect())
+    return [(i if some else None, o) for some, i, o in found]
 
 
-def with_following(rows: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+def with_following(rows: DataFrame, columns: list[str], id_col: str = "doc_id", prepare=lambda df: df) -> DataFrame:
     """rows and, for each of columns, next_<column> of the row after by ascending id (after the last: the first).
 
-    Ids (integers; null ones come first) are cut into ranges of about RANGE of them. A range is ordered by one task, and
-    a copy of the next range's first row stands at its end, so that no task needs all rows. Rows of one id are ordered by
-    their other columns' hash. Names that begin with an underscore are taken.
+    Rows are in the order of (id, a hash of their other columns), null ids first, and are cut into ranges of about RANGE
+    of them at quantiles of that order, so that no id, null or outlying, makes a range large but by equal rows. A range
+    is ordered by one task, and a copy of the next range's first row stands at its end, so that no task needs all rows.
+    prepare makes columns that others need; it runs once a row, after the shuffle. Names that begin with an underscore
+    are taken.
     """
-    found = rows.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.count("*").alias("n")).first()
-    low, high = found.low or 0, found.high or 0
-    width = max(1, -(-(high - low + 1) * RANGE // max(1, found.n)))
-    place = F.coalesce(F.floor((F.col(id_col) - F.lit(low)) / F.lit(width)), F.lit(0)).cast("long")
-    rows = rows.withColumn("_range", place)
-    # Null ids are before all others; a range's first id says which row the range before ends with.
-    key = F.coalesce(F.col(id_col), F.lit(low - 1))
-    firsts = materialize(_next_first(rows.groupBy(F.col("_range").alias("range")).agg(F.min(key).alias("first"))), "ranges")
-    ends = firsts.select(F.col("range").alias("_to"), F.col("after").alias("_after"))
-    if firsts.count() <= BROADCAST_RANGES:
-        ends = F.broadcast(ends)
-    # The first row is the least one of its id; if more rows have that id, the others stand behind it and are never the next.
-    copies = rows.join(ends, key == F.col("_after")).withColumn("_range", F.col("_to")).drop("_to", "_after").withColumn("_copy", F.lit(1))
-    order = Window.partitionBy("_range").orderBy("_copy", F.col(id_col).asc_nulls_first(), F.xxhash64(*columns))
-    every = rows.withColumn("_copy", F.lit(0)).unionByName(copies)
+    others = [c for c in rows.columns if c != id_col]
+    rows = rows.withColumn("_order", F.xxhash64(*others))
+    cuts = cuts_of(rows.select(F.col(id_col).alias("id"), F.col("_order").alias("order")))
+    if not cuts:
+        return _with_next(prepare(rows.withColumns({"_range": F.lit(0), "_copy": F.lit(0)})), columns, id_col)
+    key = F.struct(F.col(id_col).cast("long").alias("id"), F.col("_order").alias("order"))
+    # How many of the cuts aren't above the key, by two steps of a search; the lowest cut is the first key of all.
+    blocks = [cuts[n : n + STEP] for n in range(0, len(cuts), STEP)]
+    kind = "array<struct<id:bigint,order:bigint>>"
+    listed = lambda keys, kind: F.from_json(F.lit(json.dumps(keys)), F.lit(kind))
+    named = [[{"id": i, "order": o} for i, o in block] for block in blocks]
+    upto = lambda keys: F.size(F.filter(keys, lambda c: c <= key))
+    block = F.greatest(F.lit(1), upto(listed([b[0] for b in named], kind))) - 1
+    rows = rows.withColumn("_block", block)
+    rows = rows.withColumn("_range", F.greatest(F.lit(1), F.col("_block") * STEP + upto(F.get(listed(named, f"array<{kind}>"), F.col("_block")))) - 1).drop("_block")
+    # The first row of each range is also the last of the range before; that of the lowest, of the highest.
+    heads = rows.sparkSession.createDataFrame([(i, o, (n - 1) % len(cuts)) for n, (i, o) in enumerate(cuts)], "_id long, _at long, _to int")
+    copies = rows.join(F.broadcast(heads), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_order") == F.col("_at")))
+    copies = copies.dropDuplicates(["_to"]).withColumn("_range", F.col("_to")).drop("_id", "_at", "_to")
+    every = rows.withColumn("_copy", F.lit(0)).unionByName(copies.withColumn("_copy", F.lit(1)))
+    return _with_next(prepare(every.repartition("_range")), columns, id_col)
+
+
+def _with_next(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    order = Window.partitionBy("_range").orderBy("_copy", F.col(id_col).asc_nulls_first(), "_order")
     for c in columns:
-        every = every.withColumn(f"next_{c}", F.lead(c).over(order))
-    return every.where("_copy = 0").drop("_copy", "_range")
+        rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
+    return rows.where("_copy = 0").drop("_copy", "_range", "_order")
 
 
-def neighbours(docs: DataFrame, lexicon_terms: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def neighbours(docs: DataFrame, lexicon_terms: list[list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited, and the hashes of the text, the edited text and the next text (hashes, edited_hashes, next_hashes).
 
     Edited: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document's, by
     ascending id. A null text is an empty one; repeated rows come out each; one document alone is its own next.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_following(with_hashes(rows, lexicon_terms, "text", "hashes"), ["text", "hashes"])
+    rows = with_following(rows, ["text", "hashes"], prepare=lambda df: with_hashes(df, lexicon_terms, "text", "hashes"))
     cut = F.floor(F.length("text") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut)))
     rows = with_hashes(rows, lexicon_terms, "edited", "edited_hashes")
