@@ -1,4 +1,4 @@
-"""Near copies by their shingles: candidates, rounds and the comparison against brute force."""
+"""Near copies by their shingles: candidates, the rest and the comparison against brute force."""
 
 import random
 
@@ -46,7 +46,7 @@ def test_contiguous_edits_share_a_key():
 
 def test_one_shared_key_is_a_meeting_whatever_else_a_document_meets(spark):
     nodes = spark.createDataFrame([(1, [10, 11, 12]), (2, [20, 21]), (3, [10, 11, 12, 20]), (4, [21, 30])], "id long, f array<long>")
-    assert sorted(map(tuple, simhash._met(nodes).collect())) == [(1, 3), (2, 3), (2, 4)]
+    assert sorted(map(tuple, simhash._ends(simhash._shared(nodes)).collect())) == [(1, 3), (2, 3), (2, 4)]
 
 
 def family(rnd, n):
@@ -80,26 +80,45 @@ def test_families_whose_keys_are_shared_by_many_get_the_classes_of_brute_force(s
     rnd = random.Random(21)
     sets = [hashes(w) for _ in range(8) for w in family(rnd, 30)]
     nodes = spark.createDataFrame([(i, simhash.band_keys(s)) for i, s in enumerate(sets)], "id long, f array<long>")
-    shared = simhash._shared(nodes)
 
     def alike(pairs):
         kept = [(r.a, r.b) for r in pairs.collect() if (both := len(np.intersect1d(sets[r.a], sets[r.b]))) >= 0.8 * (len(sets[r.a]) + len(sets[r.b]) - both)]
         return spark.createDataFrame(kept, "a long, b long")
 
+    def rest(open_docs):
+        rows = [(r.id, r.root, len(sets[r.id]), int(h)) for r in open_docs.collect() for h in sets[r.id].view(np.int64)]
+        pairs = simhash.rare_pairs(spark.createDataFrame(rows, "id long, root long, n long, h long"), 0.8)
+        assert pairs.count() <= 10 * len(sets)  # of 3480 pairs in the families
+        return pairs
+
     want = brute_force(sets)
-    for left in (8, 0):  # all at once, or by rounds first
-        monkeypatch.setattr(simhash, "LEFT", left)
-        roots = {r.node: r.root for r in simhash._classes(shared, alike).collect()}
+    for run in (1024, 4):
+        monkeypatch.setattr(simhash, "RUN", run)
+        roots = {r.node: r.root for r in simhash._classes(simhash._shared(nodes), alike, rest).collect()}
         assert [roots.get(i, i) for i in range(len(sets))] == want
 
 
-def test_a_pair_behind_the_first_and_the_last_of_its_key_is_compared(spark, monkeypatch):
-    nodes = spark.createDataFrame([(i, [7]) for i in range(1, 9)], "id long, f array<long>")
-    alike = lambda pairs: pairs.where("(a = 2 and b = 6) or (a = 4 and b = 8)")
-    assert alike(simhash._met(nodes)).count() == 0
-    for left in (8, 0):
-        monkeypatch.setattr(simhash, "LEFT", left)
-        assert sorted(map(tuple, simhash._classes(simhash._shared(nodes), alike).collect())) == [(6, 2), (8, 4)]
+def test_rare_shingles_find_every_pair(spark):
+    rnd = random.Random(3)
+    for least in (0.8, 0.5):
+        sets = [set(rnd.sample(range(25), rnd.randint(1, 20))) for _ in range(150)]
+        rows = [(i, i % 7, len(s), h) for i, s in enumerate(sets) for h in s]
+        got = set(map(tuple, simhash.rare_pairs(spark.createDataFrame(rows, "id long, root long, n long, h long"), least).collect()))
+        near = {(a, b) for b in range(150) for a in range(b) if a % 7 != b % 7 and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        assert near and near <= got and all(a % 7 != b % 7 and a < b for a, b in got)
+
+
+def test_a_pair_behind_the_first_and_the_one_before_is_compared(spark):
+    nodes = spark.createDataFrame([(i, [7]) for i in range(1, 9)] + [(20, [8]), (21, [8])], "id long, f array<long>")
+    alike = lambda pairs: pairs.where("(a = 2 and b = 6) or (a = 4 and b = 8) or a = 20")
+    assert sorted(map(tuple, alike(simhash._ends(simhash._shared(nodes))).collect())) == [(20, 21)]
+
+    def rest(open_docs):
+        ids = sorted(r.id for r in open_docs.collect())
+        assert ids == list(range(1, 9))
+        return spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+
+    assert sorted(map(tuple, simhash._classes(simhash._shared(nodes), alike, rest).collect())) == [(6, 2), (8, 4), (21, 20)]
 
 
 def test_long_texts_next_to_the_limit_fall_on_the_right_side(spark):

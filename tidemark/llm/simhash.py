@@ -170,8 +170,11 @@ def hex_of(fingerprint: Column) -> Column:
 BANDS, ROWS = 32, 5
 #: Fixed odd factors: each one puts the hashes in another order.
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
-#: Pairs left a document below which all are compared at once; documents that one is met with under a key in a round.
-LEFT, NEXT = 8, 3
+#: Documents under one key that one task puts in order, about.
+RUN = 1024
+#: Shingles that a worker hands over at a time.
+CHUNK = 1 << 15
+
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether two sets of shingle hashes (ascending, distinct) have a Jaccard similarity of least or more."""
@@ -212,71 +215,86 @@ def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """key, id, first, before: documents under the keys that several have, with the first one of the key and the last one before it."""
-    order = Window.partitionBy("key").orderBy("id")
+    """key, id, first, before: documents under the keys that several have, with the first one of the key and one before it.
+
+    The first one comes from an aggregation that combines before the shuffle. The one before is that of the document's own
+    run: a key's documents are dealt to runs of about RUN, so that no task orders all documents of a hot key.
+    """
     rows = nodes.select("id", F.explode("f").alias("key"))
-    rows = rows.select("key", "id", F.first("id").over(order).alias("first"), F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
-    return rows.where("before is not null or after is not null").drop("after")
+    counted = rows.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(counted, F.col("key") == F.col("k")).withColumn("run", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / RUN)))
+    return rows.select("key", "id", "first", F.lag("id").over(Window.partitionBy("key", "run").orderBy("id")).alias("before"))
 
 
 def _ends(shared: DataFrame) -> DataFrame:
-    """a, b (a < b): each document with the first one of each of its keys and the last one before it."""
+    """a, b (a < b): each document with the first one of each of its keys and the one before it. Pairs grow with the rows."""
     ends = F.array_distinct(F.array("first", "before"))
     return shared.select(F.explode(ends).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """a, b (a < b): the pairs of the first round. One meeting is enough. The pairs grow with the rows, not with the square of a key's rows."""
-    return _ends(_shared(nodes))
+def _open(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """id, root: the documents under keys whose documents are of several classes (linked: node, root)."""
+    rooted = shared.select("key", "id").join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return rooted.join(mixed, F.col("key") == F.col("k"), "left_semi").select("id", "root").distinct()
+
 
+def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, root, n, h: a row for each distinct shingle hash of the texts (id, root, text), n of them."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                id_, root, text = (batch.column(n)[at].as_py() for n in range(3))
+                found = np.unique(shingle_hashes(words_of(text), shingle)).view(np.int64)
+                for start in range(0, len(found), CHUNK):
+                    part = found[start : start + CHUNK]
+                    same = [pa.array(np.full(len(part), v, np.int64)) for v in (id_, root, len(found))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(part)], ["id", "root", "n", "h"])
 
-def _classes(shared: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return texts.select("id", "root", "text").mapInArrow(run, "id long, root long, n long, h long")
+
+
+def rare_pairs(shingles: DataFrame, least: float) -> DataFrame:
+    """a, b (a < b): every pair of documents of different roots that can have a similarity of least or more, and few others.
+
+    shingles has id, root, n, h, as _shingles() gives them. Shingles are put in one order, the rarest first. Of two sets
+    with that similarity the shingles common to both are so many that the first n - ceil(least n) + 1 of each share one,
+    and that the places of the shared one leave room for the others. A family of texts that differ from one another has
+    its common shingles late in that order, so its members don't meet through them.
+    """
+    shared = shingles.groupBy(F.col("h").alias("k")).agg(F.count("*").alias("df")).where("df > 1")
+    known = shingles.join(shared, F.col("h") == F.col("k"), "left")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "h")) - 1
+    early = known.select("id", "root", "n", "h", "df", place.alias("p")).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9))
+    early = materialize(early.where("df is not null").drop("df"), "early")
+    x, y = (early.select(*[F.col(c).alias(f"{c}{side}") for c in early.columns]) for side in "xy")
+    n, m, room = F.col("nx"), F.col("ny"), F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    able = (F.least(n, m) >= F.greatest(n, m) * least - 1e-9) & (room >= (n + m) * (least / (1 + least)) - 1e-9)
+    met = x.join(y, (F.col("hx") == F.col("hy")) & (F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & able)
+    return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+
+
+def _classes(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, root, as components() gives them, of all pairs that share a key and that verified() keeps (it gets and returns a, b).
 
-    The first round compares _ends(). What is left then are pairs under a key whose documents are of several classes; those
-    of one class need no comparison. While there are more than LEFT of them a document, each document is met with its next
-    few under a key, in another random order each round, as long as that links any. All others are compared after that.
-    So no pair goes uncompared but within a class, and a hot group of near copies is one class before its pairs count.
+    First _ends() is compared, which makes a hot group of close copies one class. What is left are pairs of different
+    classes under a key; rest() gets the documents under such keys (id, root) and gives those pairs that can be similar.
     """
-    compared = materialize(_ends(shared), "pairs")
-    linked = components(verified(compared))
-    nodes, turn, found = None, 0, True
-    while True:
-        rooted = shared.select("key", "id").join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        counts = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
-        pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
-        open_keys = materialize(counts.groupBy(F.col("key").alias("k")).agg(pairs.alias("pairs")).where("pairs > 0"), "open")
-        left = open_keys.agg(F.sum("pairs")).first()[0]
-        if not left:
-            return linked
-        rest = materialize(rooted.join(open_keys, F.col("key") == F.col("k"), "left_semi"), "rest")
-        nodes = nodes or shared.select("id").distinct().count()
-        whole = left <= LEFT * nodes or not found
-        if whole:
-            x, y = (rest.select(F.col("key").alias(f"{c}_key"), F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-            meet = x.join(y, (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")))
-        else:
-            order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-            later = F.array(*[F.struct(F.lead("id", n).over(order).alias("id"), F.lead("root", n).over(order).alias("root")) for n in range(1, NEXT + 1)])
-            meet = rest.select("id", "root", later.alias("later")).select("id", "root", F.explode("later").alias("x")).where("x.root <> root")
-            meet = meet.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b"))
-        known = compared.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        new = materialize(meet.select("a", "b").distinct().join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "pairs")
-        links = materialize(verified(new), "links")
-        found, turn = bool(links.count()), turn + 1
-        if found:
-            linked = components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(links))
-        if whole:
-            return linked
-        compared = compared.unionAll(new)
+    linked = components(materialize(verified(_ends(shared)), "links"))
+    left = materialize(_open(shared, linked), "open")
+    more = materialize(verified(rest(left)), "links")
+    return components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more)) if more.count() else linked
 
 
 def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: the least doc_id among the texts that chains of pairs with a similarity of least or more join.
 
     Similarity is that of the sets of shingles of `shingle` words (all words, if fewer). Texts with the same words in the
-    same order, A-Z in lower case, are one; those without words too. Candidates share a band key of their shingles; then
-    their whole sets are compared. Rows of a null id are left out.
+    same order, A-Z in lower case, are one; those without words too. Candidates share a band key of their shingles; pairs under
+    a key that the first comparisons leave in different classes are found again by their rarest shingles, which misses
+    none. Whole sets are compared. Rows of a null id are left out.
     """
     described = materialize(_described(docs.where(F.col(id_col).isNotNull()), shingle, id_col, text_col), "described")
     nodes = materialize(described.groupBy("words").agg(F.min("doc_id").cast("long").alias("id"), F.min("f").alias("f")), "nodes")
@@ -299,7 +317,11 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
         met = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
         return met.select("a", "b", "a_t", "b_t").mapInArrow(run, "a long, b long")
 
-    linked = _classes(shared, verified)
+    def rest(open_docs: DataFrame) -> DataFrame:
+        rows = texts.join(open_docs.select(F.col("id").alias("of"), "root"), F.col("id") == F.col("of"))
+        return rare_pairs(materialize(_shingles(rows, shingle), "shingles"), least)
+
+    linked = _classes(shared, verified, rest)
     named = nodes.join(linked, F.col("id") == F.col("node"), "left").select(F.col("words").alias("w"), F.coalesce("root", "id").alias("component_id"))
     named = materialize(named, "classes")
     return described.select("doc_id", "words").join(named, F.col("words") == F.col("w")).select("doc_id", "component_id")
