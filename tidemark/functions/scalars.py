@@ -223,7 +223,8 @@ def bind_params(schema: dict[str, dict], given: dict, allow_extra: bool = False)
         else:
             default = spec.get("default")
             out[name] = default if default is None else coerce_param(spec.get("type", "string"), default)
-        if spec.get("choices") and out[name] is not None and out[name] not in spec["choices"]:
+        choices = [coerce_param(spec.get("type", "string"), c) for c in spec.get("choices") or []]
+        if choices and out[name] is not None and out[name] not in choices:
             raise ValueError(f"{name!r} must be one of {spec['choices']}")
     return out | {k: v for k, v in given.items() if k not in schema}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,21 @@ def merge_tallies(*parts: DataFrame) -> DataFrame:
     return found.groupBy(key).agg(F.sum("n").alias("n"))
 
 
+def merge_histograms(*parts: DataFrame) -> DataFrame:
+    """Histograms of several sources, added up bucket by bucket."""
+    return reduce(DataFrame.unionByName, parts).groupBy("bucket", "upper").agg(F.sum("n").alias("n"))
+
+
+def merge_moments(*parts: DataFrame) -> DataFrame:
+    """Moments of several sources as those of all their values; sources without values have no say."""
+    some, zero = F.col("count") > 0, F.lit(0.0)
+    count, total = F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("total"), zero)
+    return reduce(DataFrame.unionByName, parts).agg(
+        count.alias("count"), total.alias("total"), F.when(count > 0, total / F.when(count > 0, count)).otherwise(zero).alias("mean"),
+        F.coalesce(F.min(F.when(some, F.col("least"))), zero).alias("least"), F.coalesce(F.max(F.when(some, F.col("greatest"))), zero).alias("greatest"),
+    )
+
+
 def pool_peaks(moves: DataFrame) -> DataFrame:
     """run_id, pool, peak, final from rows run_id, seq, kind, pool, units: the running sum of what is acquired less what is released."""
     change = F.when(F.col("kind") == "resource_acquired", F.col("units")).when(F.col("kind") == "resource_released", -F.col("units")).otherwise(0)

@@ -150,6 +150,11 @@ def _bad(rows: DataFrame, rule: str) -> DataFrame:
     return rows.select("run_id", "seq", F.lit(rule).alias("rule"))
 
 
+def check_empty(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """Runs (run_id) that have no event at all."""
+    return _bad(runs.select("run_id", F.lit(None).cast("long").alias("seq")).distinct().join(events.select("run_id").distinct(), "run_id", "left_anti"), "empty")
+
+
 def check_sequence(events: DataFrame) -> DataFrame:
     """Rows whose seq isn't their place in the run, from 0."""
     nth = F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) - 1

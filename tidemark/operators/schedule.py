@@ -171,6 +171,17 @@ class Cron:
         first = F.floor(at / 60) * 60 + 60
         return F.when(found < first + SEARCH_DAYS * DAY, found.cast("double"))
 
+    def previous_fire(self, at: Column) -> Column:
+        """previous_before() of a column."""
+        times = F.array(*[F.lit(m) for m in self.minutes])
+        # Strictly before: the last minute that begins before the instant.
+        last = F.ceil(at / 60) * 60 - 60
+        day, minute = _day_of(last), _minute_of(last)
+        today = F.when(self.on_date(_date_of(day)), F.array_max(F.filter(times, lambda m: m <= minute)))
+        back = F.get(F.filter(F.sequence(F.lit(1), F.lit(self.reach)), lambda k: self.on_date(_date_of(day - k))), F.lit(0))
+        found = F.coalesce(day * F.lit(DAY) + today * 60, (day - back) * F.lit(DAY) + F.lit(self.minutes[-1] * 60))
+        return F.when(found > last - SEARCH_DAYS * DAY, found.cast("double"))
+
     def fires(self, spark: SparkSession, start: float, end: float) -> DataFrame:
         """at: every fire in (start, end]."""
         if end < start:

@@ -336,7 +336,7 @@ def graph_reduction(spark, d):
     return graph.reduction(edges, graph.closure(edges))
 
 
-@query("SELECT * FROM (VALUES ('root', 't1'), ('leaf', 't7')) AS t(kind, node)")
+@query(f"WITH {_EDGES_SQL} SELECT DISTINCT 'root' AS kind, up AS node FROM edges WHERE up NOT IN (SELECT down FROM edges) UNION SELECT DISTINCT 'leaf', down FROM edges WHERE down NOT IN (SELECT up FROM edges)")
 def graph_ends(spark, d):
     nodes, edges = _graph(spark)
     return graph.roots(nodes, edges).select(F.lit("root").alias("kind"), "node").unionByName(graph.leaves(nodes, edges).select(F.lit("leaf").alias("kind"), "node"))
@@ -656,3 +656,7 @@ def export_summary(spark, d):
 @query(f"WITH {EVENTS_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind ORDER BY seq) AS n FROM ev) SELECT run_id, kind, seq FROM e WHERE n = 1")
 def first_of_each_kind(spark, d):
     return runquery.stable_unique(views.events(spark, d), ["run_id", "kind"], "seq").select("run_id", "kind", "seq")
+
+
+# The queries over a log of all kinds and over graphs from tables register themselves here.
+from tidemark.plans import whole  # noqa: E402, F401
