@@ -136,6 +136,8 @@ def links(values: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys find links of {MAX_BITS} bits at most")
+    # A fingerprint becomes up to 186 rows, so few rows are work for many tasks.
+    values = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), values.columns[0])
     filed = _keyed(values, False).withColumnRenamed("f", "a")
     sought = _keyed(values, True).select(F.col("key").alias("sought"), F.col("f").alias("b"))
     met = filed.join(sought, (F.col("key") == F.col("sought")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
