@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.schema import EVENT, RUN_MOVES
-from tidemark.operators import replay, runquery
+from tidemark.operators import metrics, replay, runquery
 from tidemark.sinks import store
 from tidemark.sources import event_log
 from tidemark.streaming import replay as streaming
@@ -171,3 +171,41 @@ def test_run_queries(spark):
     assert first.count() == 2 and rest.count() == 2
     assert [r.run_id for r in runquery.stable_unique(runs, ["workflow"], "run_id").orderBy("run_id").collect()] == ["a", "c"]
     assert {r.workflow: r.position for r in runquery.index_map(runs, "workflow", "run_id").collect()} == {"w": 0, "v": 1}
+
+
+def test_a_rewrite_that_broke_off_loses_no_bucket(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    events = spark.createDataFrame([(f"r{n}", s, float(s), "task_started", "t", None, None) for n in range(6) for s in range(3)], EVENT)
+    store.append(events, path)
+    count = lambda: store.load(spark, path).count()
+    assert count() == 18
+    live = sorted(p for p in (tmp_path / "store").iterdir() if p.name.startswith("bucket="))
+    aside = tmp_path / "store__aside"
+    aside.mkdir()
+    live[0].rename(aside / live[0].name)  # set aside, and no new one in its place yet
+    assert count() == 18 and not aside.exists()
+    aside.mkdir()
+    (aside / live[1].name).mkdir()  # the new one is in its place
+    assert count() == 18 and not aside.exists()
+    store.replace(events.where("run_id = 'r1' and seq < 1"), path)
+    store.delete(spark, path, "r2")
+    assert count() == 13 and not aside.exists()
+
+
+def test_disorder_inside_a_batch_is_seen(spark, tmp_path):
+    rows = [("a", 0, 1.0), ("a", 2, 2.0), ("a", 1, 3.0), ("b", 0, 1.0), ("b", 1, 2.0)]
+    spark.createDataFrame([(r, s, at, "task_started", "t", None, None) for r, s, at in rows], EVENT).coalesce(1).write.json(str(tmp_path / "in"))
+    found = streaming.sequence_violations(streaming.read_stream(spark, str(tmp_path / "in")))
+    q = found.writeStream.format("memory").queryName("disorder").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("disorder").collect())) == [("a", 1, 3), ("a", 2, 1)]
+
+
+def test_histograms_and_moments_merge(spark):
+    values = [0.05, 0.5, 7.0, 50.0, 1e4]
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "d double")
+    parts = [frame(values[:2]), frame(values[2:]), frame([])]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(metrics.merge_histograms(*[metrics.histogram(p, "d") for p in parts]).orderBy("bucket").drop("upper")) == rows(metrics.histogram(frame(values), "d").drop("upper"))
+    assert rows(metrics.merge_moments(*[metrics.moments(p, "d") for p in parts])) == rows(metrics.moments(frame(values), "d"))
+    assert rows(metrics.merge_moments(metrics.moments(parts[2], "d"))) == [(0, 0.0, 0.0, 0.0, 0.0)]

@@ -303,10 +303,18 @@ _EDGES_SQL = "edges AS (SELECT 't' || (i - k) AS up, 't' || i AS down, CAST(i *
 _CLOSURE_SQL = f"RECURSIVE {_EDGES_SQL}, paths AS (SELECT up, down FROM edges UNION SELECT p.up, e.down FROM paths p JOIN edges e ON p.down = e.up)"
 
 
+_EDGES = [(f"t{i - k}", f"t{i}", i * 2 + k) for i in range(1, 8) for k in (1, 2) if i - k >= 1]
+
+
+def _each_run_with_edges(runs: DataFrame) -> DataFrame:
+    """run_id, up, down, pos: the one definition's edges for each run."""
+    edges = F.array(*[F.struct(F.lit(u).alias("up"), F.lit(v).alias("down"), F.lit(p).alias("pos")) for u, v, p in _EDGES])
+    return runs.select("run_id").distinct().select("run_id", F.inline(edges))
+
+
 def _graph(spark):
-    edges = [(f"t{i - k}", f"t{i}", i * 2 + k) for i in range(1, 8) for k in (1, 2) if i - k >= 1]
     nodes = [(f"t{i}", i) for i in range(1, 8)]
-    return spark.createDataFrame(nodes, "node string, pos int"), spark.createDataFrame(edges, "up string, down string, pos int")
+    return spark.createDataFrame(nodes, "node string, pos int"), spark.createDataFrame(_EDGES, "up string, down string, pos int")
 
 
 @query(f"WITH {_CLOSURE_SQL} SELECT up, down FROM paths")
@@ -592,8 +600,8 @@ a AS (SELECT run_id, task, count(*) AS n, count(*) FILTER (state = 'succeeded')
 SELECT run_id, task, CASE WHEN bad > 0 THEN 'upstream_failed' WHEN skips > 0 THEN 'skip' WHEN good = n THEN 'run' ELSE 'wait' END AS verdict,
  CASE WHEN bad > 0 THEN 'upstream ' || blamed || ' did not succeed' WHEN skips > 0 THEN 'trigger rule all_success not satisfied (' || unmet || ')' WHEN good = n THEN 'all_success' ELSE 'waiting for ' || open END AS reason FROM a""")
 def task_verdicts(spark, d):
-    tasks, edges = views.tasks(spark, d), _graph(spark)[1]
-    into = tasks.select("run_id").distinct().withColumn("e", F.lit(1)).join(F.broadcast(edges.withColumn("e", F.lit(1))), "e").drop("e")
+    tasks = views.tasks(spark, d)
+    into = _each_run_with_edges(tasks)
     seen = into.join(tasks.select("run_id", F.col("task").alias("up"), "state"), ["run_id", "up"], "left")
     rows = seen.select("run_id", F.col("down").alias("task"), F.col("up").alias("upstream"), "pos", F.lit("all_success").alias("rule"), F.coalesce("state", F.lit("pending")).alias("effective"))
     return policy.decide(rows, ["run_id", "task"])
@@ -621,7 +629,7 @@ hit AS (SELECT s.run_id, e.down AS node FROM st s JOIN edges e ON s.node = e.up
  UNION SELECT h.run_id, e.down FROM hit h JOIN edges e ON h.node = e.up JOIN st o ON o.run_id = h.run_id AND o.node = e.down AND o.state = 'pending') SELECT run_id, node FROM hit""")
 def affected_by_failure(spark, d):
     states = views.tasks(spark, d).select("run_id", F.col("task").alias("node"), F.when(F.col("state") == "skipped", "pending").otherwise(F.col("state")).alias("state"))
-    edges = states.select("run_id").distinct().withColumn("e", F.lit(1)).join(F.broadcast(_graph(spark)[1].select("up", "down", F.lit(1).alias("e"))), "e").drop("e")
+    edges = _each_run_with_edges(states).drop("pos")
     return graph.affected(edges, states, ["run_id"])
 
 

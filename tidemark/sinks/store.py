@@ -29,10 +29,12 @@ def append(events: DataFrame, path: str) -> None:
 
 
 def flush(events: DataFrame, path: str) -> int:
-    """Add those events whose (run_id, seq) the store lacks; how many there were."""
+    """Add those events whose (run_id, seq) the store lacks; how many there were. Only the events' buckets are read."""
     spark = events.sparkSession
+    recover(spark, path)
+    buckets = [r.bucket for r in _bucketed(events).select("bucket").distinct().collect()]  # BUCKETS at most
     try:
-        known = spark.read.parquet(path).select("run_id", "seq")
+        known = spark.read.parquet(path).where(F.col("bucket").isin(*buckets) if buckets else F.lit(False)).select("run_id", "seq")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -47,6 +49,7 @@ def flush(events: DataFrame, path: str) -> int:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
+    recover(spark, path)
     return spark.read.parquet(path).select(*EVENT.names)
 
 
@@ -59,20 +62,46 @@ def number(events: DataFrame, order: str, start: DataFrame | None = None) -> Dat
     return events.join(last, "run_id", "left").withColumn("seq", (nth + F.coalesce("_next", F.lit(0))).cast("long")).drop("_next")
 
 
+def _file_system(spark: SparkSession, path: str):
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    return to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo or finish a rewrite that broke off: a bucket that was set aside comes back unless a new one is in its place."""
+    fs, to_path = _file_system(spark, path)
+    aside = to_path(f"{path}__aside")
+    if not fs.exists(aside):
+        return
+    for f in fs.listStatus(aside):
+        live = to_path(f"{path}/{f.getPath().getName()}")
+        if not fs.exists(live):
+            fs.rename(f.getPath(), live)
+    fs.delete(aside, True)
+
+
 def _rewrite(kept: DataFrame, touched: DataFrame, path: str) -> None:
-    """Replace the folders of the touched buckets by what is kept of them; empty ones stay without rows."""
+    """Replace the folders of the touched buckets by what is kept of them; a bucket of which nothing is kept stays empty.
+
+    What is kept is written first. Then each bucket is set aside and the new one takes its place, by renaming alone, so
+    that whenever this breaks off, recover() finds either the old bucket or the new one, whole.
+    """
     spark = kept.sparkSession
     buckets = [r.bucket for r in _bucketed(touched).select("bucket").distinct().collect()]  # BUCKETS at most
     held = _bucketed(kept).where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
-    staged = f"{path}__staged"
+    staged, aside = f"{path}__staged", f"{path}__aside"
     held.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, to_path = _file_system(spark, path)
+    fs.mkdirs(to_path(aside))
     for b in buckets:
-        fs.delete(fs_path(f"{path}/bucket={b}"), True)
-        if fs.exists(fs_path(f"{staged}/bucket={b}")):
-            fs.rename(fs_path(f"{staged}/bucket={b}"), fs_path(f"{path}/bucket={b}"))
-    fs.delete(fs_path(staged), True)
+        if fs.exists(to_path(f"{path}/bucket={b}")):
+            fs.rename(to_path(f"{path}/bucket={b}"), to_path(f"{aside}/bucket={b}"))
+        if not fs.exists(to_path(f"{staged}/bucket={b}")):
+            fs.mkdirs(to_path(f"{path}/bucket={b}"))
+        else:
+            fs.rename(to_path(f"{staged}/bucket={b}"), to_path(f"{path}/bucket={b}"))
+    fs.delete(to_path(aside), True)
+    fs.delete(to_path(staged), True)
 
 
 def replace(events: DataFrame, path: str) -> None:

@@ -27,14 +27,18 @@ def task_snapshots(events: DataFrame) -> DataFrame:
     return task_records(events)
 
 
-def sequence_violations(events: DataFrame) -> DataFrame:
-    """run_id, seq, expected: events that aren't the next of their run. The state of a run is the seq that it waits for."""
+def sequence_violations(events: DataFrame, position: str = "at") -> DataFrame:
+    """run_id, seq, expected: events that aren't the next of their run. The state of a run is the seq that it waits for.
+
+    Events count in the order of position (their time, or a number that their source gives them as they arrive), those of
+    a batch as well, since a shuffle doesn't keep the order of rows; equal positions go by seq.
+    """
     ship(events.sparkSession)
 
     def check(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expected = state.get[0] if state.exists else 0
         bad = []
-        for seq in sorted(s for p in parts for s in p["seq"]):
+        for _, seq in sorted(row for p in parts for row in zip(p[position], p["seq"])):
             if seq != expected:
                 bad.append((key[0], seq, expected))
             expected = max(expected, seq + 1)
