@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A bar's mark for each state; others get the last.
@@ -44,14 +44,21 @@ def bars(rows: DataFrame, width: int = 48) -> DataFrame:
 def busiest_moment(rows: DataFrame, samples: int = 64) -> DataFrame:
     """run_id, at, running: of evenly spread instants that with the most tasks running, the earliest of equals.
 
-    Each task adds to the instants that its own span covers, so rows meet by run and instant, not every task every instant.
+    The first and the last instant that a task covers follow by arithmetic; one more runs from the first on, one fewer
+    after the last, and a run's changes, two an instant at most, are summed up in order.
     """
     n = max(1, samples)
-    steps = F.sequence(F.lit(0), F.lit(n - 1))
     instant = lambda i: F.col("origin") + F.col("span") * i / max(1, n - 1)
-    live = rows.where(placed() & (F.col("span") > 0))
-    inside = F.filter(steps, lambda i: (F.col("started_at") <= instant(i)) & (instant(i) <= F.col("finished_at")))
-    counted = live.select("run_id", F.explode(inside).alias("i")).groupBy("run_id", "i").agg(F.count("*").alias("running"))
+    near = lambda at: (F.col(at) - F.col("origin")) / F.col("span") * (n - 1)
+    inside = lambda i: F.greatest(F.lit(0), F.least(F.lit(n - 1), i)).cast("int")
+    live = rows.where(placed() & (F.col("span") > 0)).withColumns({"low": inside(F.ceil(near("started_at"))), "high": inside(F.floor(near("finished_at")))})
+    # What rounding puts one instant off is put right by the instants themselves.
+    low = F.when((F.col("low") > 0) & (instant(F.col("low") - 1) >= F.col("started_at")), F.col("low") - 1).when(instant(F.col("low")) < F.col("started_at"), F.col("low") + 1).otherwise(F.col("low"))
+    high = F.when((F.col("high") < n - 1) & (instant(F.col("high") + 1) <= F.col("finished_at")), F.col("high") + 1).when(instant(F.col("high")) > F.col("finished_at"), F.col("high") - 1).otherwise(F.col("high"))
+    spans = live.select("run_id", low.alias("low"), high.alias("high")).where("low <= high")
+    one = lambda i, n: F.struct(i.alias("i"), F.lit(n).alias("change"))
+    changes = spans.select("run_id", F.inline(F.array(one(F.col("low"), 1), one(F.col("high") + 1, -1)))).groupBy("run_id", "i").agg(F.sum("change").alias("change"))
+    counted = changes.select("run_id", "i", F.sum("change").over(Window.partitionBy("run_id").orderBy("i")).alias("running"))
     best = counted.groupBy("run_id").agg(F.max(F.struct("running", (-F.col("i")).alias("k"))).alias("b"))
     runs = rows.groupBy("run_id").agg(F.first("origin").alias("origin"), F.first("span").alias("span"), F.count_if(placed()).alias("placed"))
     joined = runs.join(best, "run_id", "left")
