@@ -128,19 +128,20 @@ def prefixed(nodes: DataFrame, edges: DataFrame, workflow: str) -> tuple[DataFra
 def critical_path(tasks: DataFrame, edges: DataFrame, key: str = "run_id") -> DataFrame:
     """key, pos, task: from the task that finished last, step by step the upstream that finished latest; ties by the later name.
 
-    Each task's best upstream is one aggregation; the walk joins one row a run with these pointers, a step a round.
+    One aggregation by run, whose row holds the run's steps, no more than its definition has edges; the walk is an
+    expression over that row. Tasks meet edges by workflow as well where both name it.
     """
-    ran = tasks.where("started_at is not null and finished_at is not null").select(key, "task", "finished_at")
-    best = edges.join(ran.select(key, F.col("task").alias("up"), F.col("finished_at")), "up").groupBy(key, F.col("down").alias("task"))
-    pointers = materialize(best.agg(F.max(F.struct("finished_at", "up"))["up"].alias("up")), "pointers")
-    now = materialize(ran.groupBy(key).agg(F.max(F.struct("finished_at", "task"))["task"].alias("task")).withColumn("back", F.lit(0)), "path")
-    found, back = now, 0
-    while not now.isEmpty():
-        back += 1
-        now = materialize(now.join(pointers, [key, "task"]).select(key, F.col("up").alias("task"), F.lit(back).alias("back")), "path")
-        found = found.unionByName(now)
-    pos = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("back"))) - 1
-    return found.select(key, pos.alias("pos"), "task")
+    on = [c for c in ("workflow",) if c in tasks.columns and c in edges.columns]
+    ran = tasks.where("started_at is not null and finished_at is not null").select(key, *on, "task", "finished_at")
+    step = F.when(F.col("down").isNotNull(), F.struct("down", "finished_at", F.col("task").alias("up")))
+    met = ran.join(edges.select(*on, F.col("up").alias("task"), "down").distinct(), [*on, "task"], "left")
+    runs = met.groupBy(key).agg(F.collect_list(step).alias("steps"), F.max(F.struct("finished_at", "task"))["task"].alias("last"))
+    best = lambda task: F.array_max(F.filter("steps", lambda s: s["down"] == task))["up"]
+    ways = F.map_from_entries(F.transform(F.array_distinct("steps.down"), lambda d: F.struct(d, best(d))))
+    runs = runs.select(key, "last", ways.alias("ways"))
+    on_from = lambda path: F.element_at("ways", F.element_at(path, -1))
+    path = F.aggregate(F.map_keys("ways"), F.array("last"), lambda path, _: F.when(on_from(path).isNull(), path).otherwise(F.array_append(path, on_from(path))))
+    return runs.select(key, F.posexplode(F.reverse(path)).alias("pos", "task"))
 
 
 # One definition's graph, on the driver -------------------------------------------------------------------------------
