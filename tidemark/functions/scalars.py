@@ -95,6 +95,44 @@ def humanize_duration(seconds: float) -> str:
     return " ".join(out) or "0 seconds"
 
 
+def _digits(value: Column) -> Column:
+    """A number from 0 on with six significant digits at most and no zeros at its end, as _short() writes it."""
+    places = lambda n: F.regexp_replace(F.format_string(f"%.{n}f", F.round(value, n)), r"\.?0+$", "")
+    return F.when(value >= 100, places(3)).when(value >= 10, places(4)).otherwise(F.when(value == 0, "0").otherwise(places(5)))
+
+
+def _counts_of(seconds: Column) -> list[tuple[str, Column]]:
+    """(unit, how many of it) of a duration of 0 or more, the largest unit first; the seconds keep their fraction."""
+    left, out = seconds, []
+    for unit in UNIT_NAMES:
+        size = F.lit(UNITS[unit])
+        out.append((unit, left if unit == "s" else F.floor(left / size)))
+        left = left % size
+    return out
+
+
+def duration_text(seconds: Column, precision: int = 2) -> Column:
+    """format_duration() of a column; null stays null. Seconds are cut to whole ones unless they are the last unit that fits."""
+    if precision < 1:
+        raise ValueError("precision must be 1 or more")
+    size = F.abs(seconds)
+    parts = F.array(*[F.when(n > 0, F.concat(_digits(n) if u == "s" else n.cast("string"), F.lit(u))) for u, n in _counts_of(size)])
+    text = F.array_join(F.slice(F.array_compact(parts), 1, precision), "")
+    below = F.when(size >= 0.001, F.concat(_digits(size * 1e3), F.lit("ms"))).otherwise(F.concat(_digits(size * 1e6), F.lit("us")))
+    text = F.when(size == 0, "0s").when(size < 1, below).otherwise(text)
+    return F.when(seconds.isNotNull(), F.concat(F.when(seconds < 0, "-").otherwise(""), text))
+
+
+def duration_words(seconds: Column) -> Column:
+    """humanize_duration() of a column; null stays null."""
+    size = F.abs(seconds)
+    named = lambda n, name: F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, f" {name}").otherwise(f" {name}s")))
+    words = F.array_join(F.array_compact(F.array(*[named(F.floor(n), UNIT_NAMES[u]) for u, n in _counts_of(size)])), " ")
+    millis = _digits(F.round(size * 1e3, 3))
+    words = F.when(size < 1, F.concat(millis, F.when(millis == "1", " millisecond").otherwise(" milliseconds"))).otherwise(words)
+    return F.when(seconds.isNotNull(), F.concat(F.when(seconds < 0, "-").otherwise(""), words))
+
+
 # Stamps and ids ------------------------------------------------------------------------------------------------------
 
 

@@ -229,6 +229,13 @@ class Interval:
         good = abs(n - round(n)) <= 1e-6 and round(n) >= 0 and (self.limit is None or round(n) < self.limit)
         return round(n) if good else None
 
+    def occurrence_at(self, at: Column) -> Column:
+        """occurrence() of a column."""
+        n = (at - self.anchor) / self.every
+        near = F.rint(n)
+        good = (F.abs(n - near) <= 1e-6) & (near >= 0)
+        return F.when(good if self.limit is None else good & (near < self.limit), near.cast("long"))
+
     def fires(self, spark: SparkSession, start: float, end: float) -> DataFrame:
         first = 0 if start < self.anchor - 1e-9 else math.floor((start - self.anchor) / self.every + 1e-9) + 1
         last = math.floor((end - self.anchor) / self.every + 1e-9)

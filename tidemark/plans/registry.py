@@ -667,4 +667,4 @@ def first_of_each_kind(spark, d):
 
 
 # The queries over a log of all kinds and over graphs from tables register themselves here.
-from tidemark.plans import whole  # noqa: E402, F401
+from tidemark.plans import stored, whole  # noqa: E402, F401

@@ -178,6 +178,27 @@ def runs_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("count"), F.count_if(F.col("state") == "succeeded").alias("succeeded"), F.count_if(F.col("state") == "failed").alias("failed"))
 
 
+def runs_document(runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """part, run_id, line: one JSON document over all runs, a line for its header (part 0), each run (1) and its end (2).
+
+    In the order of (part, run_id) the lines make the document; no task holds more of it than a line at a time. Runs
+    with a null run_id come first; without runs the list in it is empty.
+    """
+    head = runs_summary(runs).select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("run_id"), F.to_json(F.struct("count", "failed", "succeeded")).alias("line"))
+    head = head.withColumn("line", F.concat(F.regexp_replace("line", r"\}$", ""), F.lit(',"runs":[')))
+    body = run_json(runs, tasks)
+    least = body.agg(F.min_by("run_id", F.struct(F.col("run_id").isNotNull(), "run_id"))).first()[0]
+    comma = F.when(F.col("run_id").eqNullSafe(F.lit(least)), "").otherwise(",")
+    body = body.select(F.lit(1), "run_id", F.concat(comma, "json"))
+    return head.union(body).union(head.select(F.lit(2), "run_id", F.lit("]}")))
+
+
+def write_runs_document(runs: DataFrame, tasks: DataFrame, path: str) -> None:
+    """runs_document() as text files whose names follow its order."""
+    lines = runs_document(runs, tasks)
+    lines.orderBy("part", F.col("run_id").asc_nulls_first()).select("line").write.mode("overwrite").text(path)
+
+
 def render_table(columns: list[str], rows: list[list], align: list[str] | None = None) -> str:
     """A small result as text, columns as wide as their widest cell."""
     from tidemark.functions.scalars import pad
