@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalars
-from tidemark.operators import graph, replay, schedule
+from tidemark import dsl, errors, faults
+from tidemark.functions import expr, scalars
+from tidemark.operators import graph, policy, replay, schedule
 from tidemark.plans.stored import whole_log
 from tidemark.sinks import store
 
@@ -58,3 +59,44 @@ def test_critical_path_by_workflow(spark):
     for r in sorted(graph.critical_path(tasks, edges).collect()):
         found.setdefault(r.run_id, []).append(r.task)
     assert found["x"] == ["b", "c"] and found["y"][-2:] == ["b", "a"] and set(found) == {"x", "y"}
+
+
+def test_result_accessors(spark):
+    w = dsl.Workflow("w")
+    fine = w.task("fine", lambda: {"n": 2})
+    bad = w.task("bad", lambda: 1 / 0, retry=policy.Retry(max_attempts=2, delay=1.0))
+    fine >> bad >> w.task("after")
+    clock = iter(range(1000))
+    run = dsl.Engine(spark, clock=lambda: float(next(clock)), sleep=lambda s: None).run(w)
+    assert run.failed and not run.succeeded and len(run) == 3 and "bad" in run and [t.name for t in run] == ["fine", "bad", "after"]
+    assert run.values() == {"fine": {"n": 2}} and run.value("fine") == {"n": 2} and run["fine"].ran and run["fine"].duration > 0
+    assert run["bad"].attempts == 2 and run["bad"].error_message == "division by zero" and run.first_error()["type"] == "ZeroDivisionError"
+    assert run["after"].skipped and run["after"].duration is None and run.total_attempts() == 3
+    assert run.counts()["failed"] == 1 and sum(run.counts().values()) == 3 and [t.name for t in run.failures()] == ["bad"]
+    assert run.as_dict()["tasks"][0]["value"] == {"n": 2} and run.describe().splitlines()[2].startswith("  bad: failed in ")
+    with pytest.raises(faults.RunFailed) as e:
+        run.raise_for_status()
+    assert e.value.as_dict()["details"]["tasks"] == ["bad"] and errors.exit_code(e.value) == errors.RUN_FAILED
+    with pytest.raises(faults.UnknownTask):
+        run["none"]
+    with pytest.raises(faults.RunFailed):
+        run.value("bad")
+
+
+def test_codes():
+    """Codes differ from kind to kind; families are inherited; each raising site has its kind."""
+    kinds = [k for k in vars(faults).values() if isinstance(k, type) and issubclass(k, faults.Fault)]
+    assert len({k.code for k in kinds}) == len(kinds) and {k.family for k in kinds} == {"definition", "execution", "storage"}
+
+    def code(fn, *args) -> str:
+        with pytest.raises(faults.Fault) as e:
+            fn(*args)
+        return errors.classify(e.value)[0]
+
+    schema = {"n": {"type": "integer", "required": True, "choices": [1, "2"]}}
+    assert code(scalars.bind_params, schema, {}) == "missing_parameter" and code(scalars.bind_params, schema, {"n": "x"}) == "parameter_type"
+    assert code(scalars.bind_params, schema, {"n": 3}) == "parameter_error" and scalars.bind_params(schema, {"n": "2"}) == {"n": 2}
+    assert code(expr.parse, "1 +") == "expression_syntax" and code(schedule.Cron.parse, "99 * * * *") == "cron_syntax"
+    assert code(expr.Compiler({}).compile, "nothing") == "unknown_variable" and code(expr.Compiler({}).compile, "nothing()") == "unknown_function"
+    assert code(dsl.assert_valid, dsl.Workflow("w")) == "validation_failed" and code(graph.topological, ["a", "b"], {"a": ["b"], "b": ["a"]}) == "dependency_cycle"
+    assert errors.classify(ValueError("x")) == ("configuration_error", "definition") and errors.exit_code(faults.UnknownRun("x")) == errors.STORAGE

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import __version__, dsl, errors
+from tidemark.faults import UnknownRun
 from tidemark.functions.scalars import canonical, iso_text
 from tidemark.operators import graph, metrics, replay, runquery, schedule, timeline
 from tidemark.session import local_session
@@ -74,7 +75,7 @@ class App:
             wanted = runquery.sort_runs(runs, "started", True)
         found = wanted.select("run_id").first()
         if found is None:
-            raise FileNotFoundError(f"no run {self.args.run!r} in {self.args.store}")
+            raise UnknownRun(f"no run {self.args.run!r} in {self.args.store}")
         return found.run_id
 
     # Definitions
@@ -207,7 +208,7 @@ class App:
         if self.args.run:
             runs, tasks = (x.where(F.col("run_id") == self.args.run) for x in (runs, tasks))
             if runs.isEmpty():
-                raise FileNotFoundError(f"no run {self.args.run!r} in {self.args.store}")
+                raise UnknownRun(f"no run {self.args.run!r} in {self.args.store}")
         if self.args.format == "json":
             rows = [json.loads(r.json) for r in store.run_json(runs, tasks).orderBy("run_id").collect()]
             print(canonical({"runs": rows, **store.runs_summary(runs).first().asDict()}, 2))

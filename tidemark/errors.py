@@ -1,33 +1,20 @@
-"""Error families and the exit codes they have on the command line."""
+"""Families of errors and the exit codes that they have on the command line."""
 
 from __future__ import annotations
 
-from tidemark.dsl import DefinitionError, RunFailed
-from tidemark.functions.expr import ExpressionError
-from tidemark.operators.schedule import ScheduleError
-from tidemark.sources.event_log import CorruptLog
+from tidemark.faults import Fault
 
 #: Exit codes.
 OK, RUN_FAILED, USAGE, DEFINITION, STORAGE, INTERRUPTED = 0, 1, 2, 3, 4, 130
-
-#: code and family of each kind of error; the first that fits counts.
-FAMILIES: list[tuple[type[BaseException], str, str]] = [
-    (CorruptLog, "event_log_corrupt", "storage"),
-    (FileNotFoundError, "store_missing", "storage"),
-    (RunFailed, "run_failed", "execution"),
-    (DefinitionError, "workflow_definition", "definition"),
-    (ExpressionError, "expression", "definition"),
-    (ScheduleError, "schedule", "definition"),
-    (ValueError, "configuration", "definition"),
-]
+#: code and family of errors that aren't the engine's own; the first that fits counts.
+FOREIGN: list[tuple[type[BaseException], str, str]] = [(FileNotFoundError, "store_error", "storage"), (ValueError, "configuration_error", "definition")]
 
 
 def classify(error: BaseException) -> tuple[str, str]:
     """(code, family) of an error."""
-    for kind, code, family in FAMILIES:
-        if isinstance(error, kind):
-            return code, family
-    return "unknown", "definition"
+    if isinstance(error, Fault):
+        return error.code, error.family
+    return next(((code, family) for kind, code, family in FOREIGN if isinstance(error, kind)), ("unknown", "definition"))
 
 
 def exit_code(error: BaseException) -> int:

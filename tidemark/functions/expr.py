@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.faults import ExpressionError, ExpressionEvaluation, ExpressionSyntax, UnknownFunction, UnknownVariable
 from tidemark.functions.scalars import duration_seconds, parse_duration
 
 NEST = 64
@@ -30,18 +31,6 @@ TOKEN = re.compile(
 )
 
 
-class ExpressionError(ValueError):
-    """A fault in an expression, with its source and place."""
-
-    def __init__(self, message: str, source: str = "", at: int = 0):
-        super().__init__(f"{message} (at {at})" if source else message)
-        self.message, self.source, self.at = message, source, at
-
-    def render(self) -> str:
-        """The source, and a caret under the place."""
-        return f"{self.source}\n{' ' * self.at}^ {self.message}"
-
-
 @dataclass(frozen=True)
 class Node:
     """kind: literal, list, name, attribute, index, call, unary, logical, coalesce, binary. value: literal, name or operator."""
@@ -63,17 +52,17 @@ class Node:
 
 def _tokens(source: str) -> list[tuple[str, str, int]]:
     if not isinstance(source, str):
-        raise ExpressionError("an expression is a string")
+        raise ExpressionSyntax("an expression is a string")
     out, at, end = [], 0, len(source.rstrip())
     while at < end:
         m = TOKEN.match(source, at)
         start = at + len(source[at:]) - len(source[at:].lstrip())
         if m is None:
             what = "string is not closed" if source[start] in "'\"" else f"unexpected {source[start]!r}"
-            raise ExpressionError(what, source, start)
+            raise ExpressionSyntax(what, source, start)
         at, kind = m.end(), m.lastgroup
         if kind == "number" and at < end and re.match(r"\w", source[at]):
-            raise ExpressionError("number runs into a name", source, at)
+            raise ExpressionSyntax("number runs into a name", source, at)
         if kind == "word" and m[kind] in KEYWORDS:
             kind = "op" if m[kind] in ("and", "or", "not", "in") else "constant"
         out.append((kind, m[m.lastgroup], start))
@@ -83,7 +72,7 @@ def _tokens(source: str) -> list[tuple[str, str, int]]:
 def _unquote(text: str, source: str, at: int) -> str:
     def one(m: re.Match) -> str:
         if m[1] not in ESCAPES:
-            raise ExpressionError(f"unknown escape \\{m[1]}", source, at + m.start())
+            raise ExpressionSyntax(f"unknown escape \\{m[1]}", source, at + m.start())
         return ESCAPES[m[1]]
 
     return re.sub(r"\\(.)", one, text[1:-1])
@@ -109,7 +98,7 @@ class _Reader:
         return False
 
     def fail(self, message: str):
-        raise ExpressionError(message, self.source, self.tokens[self.i][2])
+        raise ExpressionSyntax(message, self.source, self.tokens[self.i][2])
 
     def need(self, text: str) -> None:
         if not self.take(text):
@@ -329,8 +318,8 @@ class Compiler:
         """Whether the expression holds."""
         return truthy(self.compile(source))
 
-    def fail(self, message: str, node: Node):
-        raise ExpressionError(message, self.source, node.at)
+    def fail(self, message: str, node: Node, kind: type[ExpressionError] = ExpressionEvaluation):
+        raise kind(message, self.source, node.at)
 
     def guard(self, good: Column, value: Column, t: T.DataType, message: str, node: Node) -> Column:
         """value where good holds; elsewhere the error, or null."""
@@ -365,7 +354,7 @@ class Compiler:
 
     def _name(self, node: Node) -> Value:
         if node.value not in self.bindings:
-            self.fail(f"unknown name {node.value!r}", node)
+            self.fail(f"unknown name {node.value!r}", node, UnknownVariable)
         return self.bindings[node.value]
 
     def _member(self, target: Value, key: str, node: Node) -> Value:
@@ -406,7 +395,7 @@ class Compiler:
 
     def _call(self, node: Node) -> Value:
         if node.value not in self.functions:
-            self.fail(f"unknown function {node.value!r}", node)
+            self.fail(f"unknown function {node.value!r}", node, UnknownFunction)
         low, high = ARITY.get(node.value, (0, None))
         if not low <= len(node.parts) <= (len(node.parts) if high is None else high):
             self.fail(f"{node.value}() takes {low if low == high else f'{low} to {high}'} arguments", node)

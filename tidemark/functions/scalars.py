@@ -11,6 +11,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.faults import MissingParameter, ParameterError, ParameterType
+
 #: Seconds of each unit of a duration, the largest first; a number without a unit is in seconds.
 UNITS = {"w": 604800.0, "d": 86400.0, "h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001, "us": 0.000001}
 UNIT_NAMES = {"w": "week", "d": "day", "h": "hour", "m": "minute", "s": "second"}
@@ -242,28 +244,28 @@ def coerce_param(kind: str, value):
         return list(value)
     if kind == "object" and isinstance(value, dict):
         return dict(value)
-    raise ValueError(f"expected {kind}, got {value!r}")
+    raise ParameterType(f"expected {kind}, got {value!r}")
 
 
 def bind_params(schema: dict[str, dict], given: dict, allow_extra: bool = False) -> dict:
     """Values for all parameters of a schema (name -> type, required, default, choices) from what is given."""
     if unknown := [k for k in given if k not in schema]:
         if not allow_extra:
-            raise ValueError(f"unknown parameter {unknown[0]!r}")
+            raise ParameterError(f"unknown parameter {unknown[0]!r}", name=unknown[0])
     out = {}
     for name, spec in schema.items():
         if spec.get("type", "string") not in PARAM_TYPES:
-            raise ValueError(f"unknown type of {name!r}")
+            raise ParameterError(f"unknown type of {name!r}", name=name)
         if name in given:
             out[name] = coerce_param(spec.get("type", "string"), given[name])
         elif spec.get("required"):
-            raise ValueError(f"missing parameter {name!r}")
+            raise MissingParameter(f"missing parameter {name!r}", name=name)
         else:
             default = spec.get("default")
             out[name] = default if default is None else coerce_param(spec.get("type", "string"), default)
         choices = [coerce_param(spec.get("type", "string"), c) for c in spec.get("choices") or []]
         if choices and out[name] is not None and out[name] not in choices:
-            raise ValueError(f"{name!r} must be one of {spec['choices']}")
+            raise ParameterError(f"{name!r} must be one of {spec['choices']}", name=name)
     return out | {k: v for k, v in given.items() if k not in schema}
 
 

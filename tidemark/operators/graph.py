@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.faults import DependencyCycle
 from tidemark.functions.schema import TERMINAL_STATES
 from tidemark.session import materialize
 
@@ -67,7 +68,7 @@ def levels(nodes: DataFrame, edges: DataFrame, key: list[str] = ()) -> DataFrame
         open_edges = materialize(open_edges.join(ready.select(*key, F.col("node").alias("up")), [*key, "up"], "left_anti"), "levels")
         level += 1
     if not left.isEmpty():
-        raise ValueError("the graph has a cycle")
+        raise DependencyCycle("the graph has a cycle")
     return done if done is not None else left.withColumn("level", F.lit(0))
 
 
@@ -167,7 +168,7 @@ def topological(nodes: list[str], upstreams: dict[str, list[str]]) -> list[str]:
             if not needs[c]:
                 heapq.heappush(ready, place[c])
     if len(out) < len(nodes):
-        raise ValueError("the graph has a cycle")
+        raise DependencyCycle("the graph has a cycle")
     return out
 
 

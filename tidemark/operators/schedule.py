@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.faults import CronSyntax, ScheduleError
 from tidemark.functions.scalars import coerce_duration, format_duration, iso_text
 
 DAY = 86400
@@ -32,10 +33,6 @@ MACROS = {
 }
 
 
-class ScheduleError(ValueError):
-    pass
-
-
 def _utc(at: float) -> datetime:
     return datetime.fromtimestamp(float(at), UTC)
 
@@ -63,7 +60,7 @@ def _number(name: str, text: str) -> int:
     if value is None and text.isdigit():
         value = int(text)
     if value is None or not low <= value <= high:
-        raise ScheduleError(f"{name}: {text!r} is not between {low} and {high}")
+        raise CronSyntax(f"{name}: {text!r} is not between {low} and {high}")
     return value
 
 
@@ -73,14 +70,14 @@ def _values(name: str, text: str) -> list[int]:
     for part in text.split(","):
         m = re.fullmatch(r"(\*|[^/]+?)(?:/(\d+))?", part)
         if m is None or m[2] and int(m[2]) < 1:
-            raise ScheduleError(f"{name}: cannot read {part!r}")
+            raise CronSyntax(f"{name}: cannot read {part!r}")
         step, (low, high) = int(m[2] or 1), FIELDS[name]
         if m[1] != "*":
             ends = m[1].split("-", 1) if "-" in m[1][1:] else [m[1]]
             low = _number(name, ends[0])
             high = _number(name, ends[1]) if len(ends) == 2 else high if step > 1 else low
             if low > high:
-                raise ScheduleError(f"{name}: {part!r} runs backwards")
+                raise CronSyntax(f"{name}: {part!r} runs backwards")
         found.update(range(low, high + 1, step))
     return sorted({v % 7 for v in found} if name == "weekday" else found)
 
@@ -98,7 +95,7 @@ class Cron:
         source = text.strip() if isinstance(text, str) else ""
         parts = MACROS.get(source.lower(), source).split()
         if len(parts) != len(FIELDS) or parts[0].startswith("@"):
-            raise ScheduleError(f"not a cron expression: {text!r}")
+            raise CronSyntax(f"not a cron expression: {text!r}")
         parts = ["*" if p == "?" and n in ("day", "weekday") else p for n, p in zip(FIELDS, parts)]
         return cls(source, {n: _values(n, p) for n, p in zip(FIELDS, parts)}, frozenset(n for n, p in zip(FIELDS, parts) if p == "*"))
 

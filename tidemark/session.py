@@ -39,12 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or context.getCheckpointDir()).rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes with the application."""
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+def _gone_at_the_end(spark: SparkSession, path: str) -> None:
+    """Let a folder that exists go with the application."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in a new folder of the shared one, for a table that the caller writes; the folder goes with the application."""
+    folder = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    _gone_at_the_end(spark, folder)
+    return f"{folder}/{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,8 +59,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     The table goes with the application, if drop_table() hasn't removed it before.
     """
-    path = scratch(df.sparkSession, name)
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _gone_at_the_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

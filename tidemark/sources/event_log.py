@@ -12,15 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.faults import CorruptLog
 from tidemark.functions.schema import EVENT, KINDS, RUN_KINDS
 
 _LOOSE = T.StructType([T.StructField(f.name, T.StringType()) for f in EVENT.fields] + [T.StructField("_corrupt", T.StringType())])
 
 
-class CorruptLog(ValueError):
-    """A log that strict reading rejects."""
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
