@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
+from tidemark.llm import components as stars
 from tidemark.llm import golay, simhash
 from tidemark.llm.components import components
 
@@ -72,5 +73,23 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_no_join_broadcasts_and_tables_leave_no_marks(spark, monkeypatch):
+    seen, write = [], simhash.materialize
+
+    def noted(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        out = write(df, name)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(out.inputFiles()[0]).getParent()
+        assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
+        return out
+
+    for module in (simhash, stars):
+        monkeypatch.setattr(module, "materialize", noted)
+    rows = [(i, f"one two three four five six seven eight nine ten {i // 3 if i % 3 else 'x'}") for i in range(60)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1)
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 60 and any("Join" in p for p in seen) and not any("BroadcastExchange" in p for p in seen)
+
+
 def simhash_hex(value):
     return f"{value & (1 << 64) - 1:016x}"

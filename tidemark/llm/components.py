@@ -14,13 +14,13 @@ def _large(edges: DataFrame) -> DataFrame:
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
     # Written, so that both sides of the join are shuffled for it alone and Spark can split a node with very many neighbours.
     least = materialize(least, "least")
-    return both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").distinct()
+    return both.where("b > a").join(least.hint("merge"), F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are linked to the least of them. a < b holds in each row."""
     least = edges.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n")
-    found = edges.join(least, F.col("b") == F.col("n"))
+    found = edges.join(least.hint("merge"), F.col("b") == F.col("n"))
     return found.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionAll(least.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()
 
 
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and edges in either direction are fine. Both stars combine before they shuffle by minimum, and
     each round's edges are written to the shared folder, so a lost executor costs one round. The number of rounds grows
-    as the logarithm of the longest path. A null end is no edge.
+    as the logarithm of the longest path. A null end is no edge. No join broadcasts, whatever the session's threshold is,
+    so the driver holds no table of nodes.
     """
     now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now, seen = materialize(now, "edges"), None

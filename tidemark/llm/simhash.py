@@ -140,7 +140,7 @@ def links(values: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     values = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), values.columns[0])
     filed = _keyed(values, False).withColumnRenamed("f", "a")
     sought = _keyed(values, True).select(F.col("key").alias("sought"), F.col("f").alias("b"))
-    met = filed.join(sought, (F.col("key") == F.col("sought")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+    met = filed.join(sought.hint("merge"), (F.col("key") == F.col("sought")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return met.select("a", "b").distinct()
 
 
@@ -148,16 +148,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     """doc_id, fingerprint (long), component_id: the least doc_id that links lead to, its own included.
 
     Texts without words are linked like any other (fingerprint 0). Repeated rows come out each. A null id comes out with
-    its fingerprint's component, which null ids don't name unless it has no other.
+    its fingerprint's component, which null ids don't name unless it has no other. No join broadcasts, so the driver's
+    memory doesn't follow the number of fingerprints.
     """
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(links(distinct.select("fingerprint"), max_bits))
-    rooted = distinct.join(linked, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = distinct.join(linked.hint("merge"), F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # Written before it is joined: with a shuffle on either side Spark can split the partition of a fingerprint with very many copies.
-    named = materialize(rooted.join(roots, "root").select(F.col("fingerprint").alias("f"), "component_id"), "components")
-    return prints.join(named, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id")
+    named = materialize(rooted.join(roots.hint("merge"), "root").select(F.col("fingerprint").alias("f"), "component_id"), "components")
+    return prints.join(named.hint("merge"), F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id")
 
 
 def hex_of(fingerprint: Column) -> Column:

@@ -57,10 +57,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
-    The table goes with the application, if drop_table() hasn't removed it before.
+    The table goes with the application, if drop_table() hasn't removed it before. It has no _SUCCESS file: nothing looks
+    for one, and on a local file system the driver starts two processes to set its mode and its checksum file's.
     """
     path = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _gone_at_the_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
