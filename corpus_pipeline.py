@@ -26,7 +26,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each class of near copies stays: five-word shingles, a similarity of 0.8 or more.
+
+    Copies are found by fingerprints and their Golay keys, and by minima of the shingles' hashes; whole sets are compared.
+    """
     return simhash.without_copies(docs, least=0.8, shingle=5).select(*COLUMNS)
 
 

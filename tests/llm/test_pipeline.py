@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -57,6 +58,43 @@ def test_near_copies_go_and_others_stay(spark):
     assert got == want and {9001, 9003} <= got and not {9002, 9004} & got
 
 
+def test_near_copies_are_found_by_their_golay_keys(spark, monkeypatch):
+    """Without any band key: those within 3 bits go, also where only the rest of a class is alike."""
+    rnd = random.Random(9)
+    rows = []
+    for n in range(25):
+        words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(400)]
+        rows.append((10 * n, " ".join(words), "s"))
+        for k in range(3):
+            words[rnd.randrange(len(words))] = f"other{k}"
+            rows.append((10 * n + k + 1, " ".join(words), "s"))
+    rows += [(9001, "", "s"), (9002, None, "s"), (9003, "one", "s"), (9004, "One ", "s")]
+    prints = {i: simhash.majority(simhash.shingle_hashes(simhash.words_of(t or ""), 5)) for i, t, _ in rows}
+    root = {i: i for i in prints}
+    for a in prints:
+        for b in prints:
+            if a < b and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 3:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    want = {i for i in root if root[i] == i}
+    assert len(rows) - len(want) >= 40
+    described = simhash._described
+    monkeypatch.setattr(simhash, "_described", lambda *a: described(*a).withColumn("f", F.array().cast("array<long>")))
+    got = {r.doc_id for r in p.near_dedup_stage(spark, frame(spark, rows), SF).collect()}
+    assert got <= want and classes_by_brute_force(rows) <= got
+
+
+def test_fingerprints_alone_join_nothing_that_differs(spark):
+    nodes = spark.createDataFrame([(1, b"a", 7, [5]), (2, b"b", 7, []), (3, b"c", 6, []), (4, b"d", 4, [5]), (9, b"e", -1, [])], "id long, words binary, print long, f array<long>")
+    keyed, found = simhash.by_prints(nodes)
+    assert {tuple(r) for r in found.collect()} >= {(1, 2), (1, 3), (3, 4), (1, 4)}
+    keys = {r.id: r.f for r in keyed.collect()}
+    assert len({keys[i][-1] for i in (1, 2, 3, 4)}) == 1 and keys[9][-1] != keys[1][-1] and keys[1][0] == keys[4][0] == 5
+    alike = lambda pairs: pairs.where("a = 2 and b = 3")  # noqa: E731  behind the first one and the one before
+    rest = lambda left: spark.createDataFrame([(2, 3)], "a long, b long") if left.count() == 4 else None
+    assert [tuple(r) for r in simhash._classes(simhash._shared(keyed), alike, rest, found).collect()] == [(3, 2)]
+
+
 def test_repeated_and_null_rows(spark):
     rows = [(1, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (None, "x", "s"), (None, None, "s")]
     assert sorted(map(str, (r.doc_id for r in p.near_dedup_stage(spark, frame(spark, rows), SF).collect()))) == ["1", "None", "None"]

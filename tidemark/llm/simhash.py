@@ -203,18 +203,41 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, words (16 bytes that stand for the sequence of words), f (band keys of the shingles)."""
+    """doc_id, words (16 bytes that stand for the sequence of words), print (fingerprint), f (band keys), both of the shingles."""
     rows = text_rows(docs, id_col, text_col)
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": c["doc_id"], "words": [], "f": []}
+        out: dict[str, list] = {"doc_id": c["doc_id"], "words": [], "print": [], "f": []}
         for text in c["text"]:
             words = words_of(text)
             out["words"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-            out["f"].append(band_keys(shingle_hashes(words, shingle)))
+            hashes = shingle_hashes(words, shingle)
+            out["print"].append(majority(hashes))
+            out["f"].append(band_keys(hashes))
         return out
 
-    return map_rows(rows, run, schema_of(rows, ["doc_id"], "words binary, f array<long>"))
+    return map_rows(rows, run, schema_of(rows, ["doc_id"], "words binary, print long, f array<long>"))
+
+
+def by_prints(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the fingerprints find of nodes (id, words, print, f): nodes with one more key in f, and pairs a, b (a < b).
+
+    Fingerprints are linked by the Golay keys, as links() does it. The key is that of the class which chains of links
+    make, so all documents of a class meet under it. Pairs are each document with the first one of its fingerprint and,
+    for each linked fingerprint, its first document with those of its least and greatest partner below: they grow with
+    the rows, and _classes() finds what they leave of a class.
+    """
+    firsts = materialize(nodes.groupBy("print").agg(F.min("id").alias("id")), "prints")
+    met = materialize(links(firsts.select("print")), "met")
+    linked = components(met)
+    keyed = nodes.join(linked.hint("merge"), F.col("print") == F.col("node"), "left")
+    keyed = keyed.select("id", "words", F.concat("f", F.array(F.xxhash64(F.lit("prints"), F.coalesce("root", "print")))).alias("f"))
+    first = lambda c: firsts.select(F.col("print").alias(f"{c}_print"), F.col("id").alias(f"{c}_id")).hint("merge")
+    same = nodes.join(first("x"), F.col("print") == F.col("x_print")).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
+    few = met.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).select("b", F.explode(F.array_distinct(F.array("low", "high"))).alias("a"))
+    few = few.join(first("x"), F.col("a") == F.col("x_print")).join(first("y"), F.col("b") == F.col("y_print"))
+    near = few.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    return keyed, same.where("a < b").unionAll(near)
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -279,13 +302,14 @@ def rare_pairs(shingles: DataFrame, least: float) -> DataFrame:
     return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
-def _classes(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _classes(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], found: DataFrame | None = None) -> DataFrame:
     """node, root, as components() gives them, of all pairs that share a key and that verified() keeps (it gets and returns a, b).
 
-    First _ends() is compared, which makes a hot group of close copies one class. What is left are pairs of different
+    First _ends() and found (a, b) are compared, which makes a hot group of close copies one class. What is left are pairs of different
     classes under a key; rest() gets the documents under such keys (id, root) and gives those pairs that can be similar.
     """
-    linked = components(materialize(verified(_ends(shared)), "links"))
+    ends = _ends(shared) if found is None else _ends(shared).unionAll(found).distinct()
+    linked = components(materialize(verified(ends), "links"))
     left = materialize(_open(shared, linked), "open")
     more = materialize(verified(rest(left)), "links")
     return components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more)) if more.count() else linked
@@ -295,13 +319,15 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
     """doc_id, component_id: the least doc_id among the texts that chains of pairs with a similarity of least or more join.
 
     Similarity is that of the sets of shingles of `shingle` words (all words, if fewer). Texts with the same words in the
-    same order, A-Z in lower case, are one; those without words too. Candidates share a band key of their shingles; pairs under
-    a key that the first comparisons leave in different classes are found again by their rarest shingles, which misses
-    none. Whole sets are compared. Rows of a null id are left out.
+    same order, A-Z in lower case, are one; those without words too. Candidates are documents whose fingerprints chains of links
+    join, found by the Golay keys as in near_duplicates(), and those that share a band key of their shingles, which finds
+    pairs whose fingerprints differ in more bits. Pairs of one such class or key that the first comparisons leave in
+    different classes are found again by their rarest shingles, which misses none. Whole sets are compared. Rows of a null id are left out.
     """
     described = materialize(_described(docs.where(F.col(id_col).isNotNull()), shingle, id_col, text_col), "described")
-    nodes = materialize(described.groupBy("words").agg(F.min("doc_id").cast("long").alias("id"), F.min("f").alias("f")), "nodes")
-    shared = materialize(_shared(nodes), "shared")
+    nodes = materialize(described.groupBy("words").agg(F.min("doc_id").cast("long").alias("id"), F.min("print").alias("print"), F.min("f").alias("f")), "nodes")
+    nodes, found = by_prints(nodes)
+    shared, found = materialize(_shared(nodes), "shared"), materialize(found, "found")
     texts = text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("id"), "text")
     texts = materialize(texts.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     side = lambda c: texts.select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_t"))
@@ -324,7 +350,7 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_co
         rows = texts.join(open_docs.select(F.col("id").alias("of"), "root"), F.col("id") == F.col("of"))
         return rare_pairs(materialize(_shingles(rows, shingle), "shingles"), least)
 
-    linked = _classes(shared, verified, rest)
+    linked = _classes(shared, verified, rest, found)
     named = nodes.join(linked, F.col("id") == F.col("node"), "left").select(F.col("words").alias("w"), F.coalesce("root", "id").alias("component_id"))
     named = materialize(named, "classes")
     return described.select("doc_id", "words").join(named, F.col("words") == F.col("w")).select("doc_id", "component_id")
