@@ -62,6 +62,19 @@ def test_edits_and_fingerprints(spark):
     assert sum(out[i].near for i in long) > 4 * sum(out[i].far for i in long)
 
 
+def test_terms_are_sorted_by_value_without_an_expression(spark):
+    docs = spark.createDataFrame([(1, "one two three two"), (2, "three four"), (3, None)], "doc_id long, text string")
+    frame = imatch.neighbours(docs, imatch.lexicon(docs, least_share=0, most_share=1))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan and "shiftright" not in plan.lower()
+
+
+def test_likeness_evaluates_its_levels_once(spark):
+    columns = spark.createDataFrame([], "a array<long>, b array<long>")
+    plan = columns.select(imatch.likeness(F.col("a"), F.col("b")).alias("share"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("zip_with(") <= 2 * imatch.LEVELS
+
+
 def term(word):
     return int.from_bytes(xxhash.xxh64_digest(word.encode(), 42), "big", signed=True)
 

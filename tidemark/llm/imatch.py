@@ -31,9 +31,9 @@ RANGE, STEP = 4096, 128
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct hashes of the text's words (runs of letters and digits, in lower case), sorted; a null text has none."""
+    """Distinct hashes of the text's words (runs of letters and digits, in lower case); a null text has none."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> list[list[int]]:
@@ -57,23 +57,25 @@ def with_hashes(df: DataFrame, lexicon_terms: list[list[int]], text_col: str, ou
     """
     table = F.from_json(F.lit(json.dumps(lexicon_terms)), F.lit("array<array<bigint>>"))  # folded into a literal
     places, tmp = F.lit(len(lexicon_terms) - 1).cast("long"), f"_{out}_terms"
-    df = df.withColumn(tmp, terms_of(F.col(text_col)))
+    df = df.withColumn(tmp, F.sort_array(terms_of(F.col(text_col))))  # not array_sort(), which evaluates an expression to compare
     df = df.withColumn(out, F.filter(tmp, lambda t: F.array_contains(F.get(table, t.bitwiseAND(places).cast("int")), t)))
     df = df.withColumn(tmp, F.when(F.size(out) > 0, F.col(out)).otherwise(F.col(tmp)))
     names = [f"_{out}_{n}" for n in range(LEVELS)]
     for n, name in enumerate(names):  # each level is a part of the one before
         df = df.withColumn(name, F.filter(names[n - 1], _kept(n)) if n else F.col(tmp))
-    hashed = [F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), _part(F.col(name), n)) for n, name in enumerate(names)]
+    hashed = [F.transform(F.lit([k << 27 + 3 * n for k in range(PARTS)]).cast("array<bigint>"), _part(F.col(name), n)) for n, name in enumerate(names)]
     return df.withColumn(out, F.concat(*hashed)).drop(tmp, *names)
 
 
 def _kept(n: int):
-    return lambda t: F.shiftright(t, DEPTH + n).bitwiseAND(F.lit(1)) == 0
+    return lambda t: t.bitwiseAND(F.lit(1 << DEPTH + n).cast("bigint")) == 0
 
 
 def _part(level: Column, n: int):
+    """Of the terms whose bits of the part, left in their places, are k."""
+
     def of(k: Column) -> Column:
-        own = F.filter(level, lambda t: F.shiftright(t, 27 + 3 * n).bitwiseAND(F.lit(PARTS - 1)) == k)
+        own = F.filter(level, lambda t: t.bitwiseAND(F.lit(PARTS - 1 << 27 + 3 * n).cast("bigint")) == k)
         return F.when(F.size(own) > 0, F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     return of
@@ -85,22 +87,32 @@ def fingerprint_of(values: Column) -> Column:
 
 
 def _counts(a: Column, b: Column, level: int) -> tuple[Column, Column, Column]:
-    """Of one level's subsets: how many hashes are equal, how many subsets have terms of either text, and of both."""
+    """Of one level's subsets: how many hashes are equal, how many there are in both lists, how many subsets have terms of both texts."""
     x, y = (F.slice(c, level * PARTS + 1, PARTS) for c in (a, b))
     equal = F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: F.coalesce(e, F.lit(False))))
     filled, other = (F.size(F.array_compact(c)) for c in (x, y))
     both = F.size(F.array_compact(F.zip_with(x, y, lambda p, q: p + q)))
-    return equal, filled + other - both, both
+    return equal, filled + other, both
+
+
+def _with(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets that either has, on the fine levels (see above); 1 if neither has any."""
-    levels = F.array(*[F.struct(e.alias("equal"), n.alias("either"), both.alias("both")) for e, n, both in (_counts(a, b, k) for k in range(LEVELS))])
-    fine = F.filter(levels, lambda s: (s["both"] < PARTS) & (s["either"] > 0))
-    used = F.when(F.size(fine) > 0, fine).otherwise(levels)
-    equal = F.aggregate(used, F.lit(0), lambda acc, s: acc + s["equal"])
-    either = F.aggregate(used, F.lit(0), lambda acc, s: acc + s["either"])
-    return F.when(either == 0, 1.0).otherwise(equal / either)
+    levels = F.array(*[F.struct(e.alias("equal"), n.alias("hashes"), both.alias("both")) for e, n, both in (_counts(a, b, k) for k in range(LEVELS))])
+    either = lambda s: s["hashes"] - s["both"]
+    zero = F.struct(F.lit(0).alias("equal"), F.lit(0).alias("either"))
+    total = lambda used: F.aggregate(used, zero, lambda acc, s: F.struct((acc["equal"] + s["equal"]).alias("equal"), (acc["either"] + either(s)).alias("either")))
+    share = lambda sums: F.when(sums["either"] == 0, 1.0).otherwise(sums["equal"] / sums["either"])
+
+    def of(every: Column) -> Column:
+        fine = F.filter(every, lambda s: (s["both"] < PARTS) & (either(s) > 0))
+        return _with(_with(fine, lambda f: total(F.when(F.size(f) > 0, f).otherwise(every))), share)
+
+    return _with(levels, of)
 
 
 def cuts_of(rows: DataFrame) -> list[tuple[int | None, int]]:
